@@ -95,14 +95,20 @@ def density_map(
         .agg(F.sum(weight).alias("_w"))
     )
     totals = merged.groupBy("risk_class").agg(F.sum("_w").alias("_total"))
+    # Each row grows ``points``-fold after its exchange, so the number of partitions
+    # is set rather than derived from the few bytes before it. Both sums then run
+    # without a further exchange, as their keys contain the partitioning columns.
+    spread = cells.sparkSession.sparkContext.defaultParallelism
     by_lon = (
-        merged.withColumn("gx", grid)
+        merged.repartition(spread, "risk_class", "lat_bin")
+        .withColumn("gx", grid)
         .withColumn("_p", F.col("_w") * _kernel(at("gx", lon_range) - F.col("lon_bin"), width))
         .groupBy("risk_class", "gx", "lat_bin")
         .agg(F.sum("_p").alias("_p"))
     )
     by_both = (
-        by_lon.withColumn("gy", grid)
+        by_lon.repartition(spread, "risk_class", "gx")
+        .withColumn("gy", grid)
         .withColumn("_q", F.col("_p") * _kernel(at("gy", lat_range) - F.col("lat_bin"), width))
         .groupBy("risk_class", "gx", "gy")
         .agg(F.sum("_q").alias("_q"))

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from workload import voyage_queries  # noqa: F401
+from workload import carrier_queries, risk_queries, study_queries, voyage_queries  # noqa: F401
 from workload.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
