@@ -237,7 +237,7 @@ class Inputs:
     def vessel_daily(self) -> DataFrame:
         return self.table("events").selectExpr(
             "cast(user_id AS string) AS vessel_id",
-            "cast(user_id % 120 AS string) AS ssvid",
+            "cast(120 + user_id % 120 AS string) AS ssvid",
             "to_date(ts) AS day",
         )
 
@@ -245,7 +245,7 @@ class Inputs:
         """Voyages some of whose bounds coincide with port visits."""
         visits = self.table("events").selectExpr("user_id", "date_trunc('WEEK', ts) AS w").distinct()
         return visits.selectExpr(
-            "cast(user_id % 120 AS string) AS ssvid",
+            "cast(120 + user_id % 120 AS string) AS ssvid",
             "timestampadd(HOUR, 168 + CASE WHEN user_id % 5 = 0 THEN 0 ELSE 1 END, w) AS trip_start",
             "timestampadd(HOUR, CASE WHEN user_id % 2 = 0 THEN 0 ELSE -1 END, w) AS trip_end",
         )

@@ -376,9 +376,9 @@ def durations_of(name: str, joined: str) -> None:
 durations_of("durations_30", "joined_30")
 durations_of("durations_720", "joined_720")
 cte("vessel_daily", """
-    SELECT DISTINCT user_id::VARCHAR AS vessel_id, (user_id % 120)::VARCHAR AS ssvid, ts::DATE AS day FROM events""")
+    SELECT DISTINCT user_id::VARCHAR AS vessel_id, (120 + user_id % 120)::VARCHAR AS ssvid, ts::DATE AS day FROM events""")
 cte("stored_voyages", """
-    SELECT (user_id % 120)::VARCHAR AS ssvid, w + to_hours(168 + CASE WHEN user_id % 5 = 0 THEN 0 ELSE 1 END) AS trip_start,
+    SELECT (120 + user_id % 120)::VARCHAR AS ssvid, w + to_hours(168 + CASE WHEN user_id % 5 = 0 THEN 0 ELSE 1 END) AS trip_start,
       w + to_hours(CASE WHEN user_id % 2 = 0 THEN 0 ELSE -1 END) AS trip_end
     FROM (SELECT DISTINCT user_id, date_trunc('week', ts)::TIMESTAMP AS w FROM events)""")
 cte("dock_stops", """
