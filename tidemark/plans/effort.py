@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.geo import cell_area_km2, degree_bin
 from tidemark.operators.intervals import contained_in
@@ -53,13 +54,11 @@ def with_area(effort: DataFrame, size: float = 1.0) -> DataFrame:
 
 def scaled_effort(effort: DataFrame) -> DataFrame:
     """Hours per km2 scaled to 0..1 within each risk class (NULL where all are equal)."""
-    bounds = effort.groupBy("risk_class").agg(
-        F.min("fishing_hours_km2").alias("_lo"), F.max("fishing_hours_km2").alias("_hi")
-    )
-    return effort.join(bounds, "risk_class").withColumn(
-        "scaled",
-        F.try_divide(F.col("fishing_hours_km2") - F.col("_lo"), F.col("_hi") - F.col("_lo")),
-    ).drop("_lo", "_hi")
+    # A class has at most one row per cell of the world, so the window is bounded.
+    cls = Window.partitionBy("risk_class")
+    value = F.col("fishing_hours_km2")
+    low, high = F.min(value).over(cls), F.max(value).over(cls)
+    return effort.withColumn("scaled", F.try_divide(value - low, high - low))
 
 
 def _kernel(offset: Column, width: float) -> Column:
@@ -94,13 +93,16 @@ def density_map(
         .groupBy("risk_class", "lat_bin", "lon_bin")
         .agg(F.sum(weight).alias("_w"))
     )
-    totals = merged.groupBy("risk_class").agg(F.sum("_w").alias("_total"))
+    # Weights become shares of their class here, where a class has at most one row
+    # per cell of the world; the map is then one lineage over the cells.
+    cls = Window.partitionBy("risk_class")
+    shared = merged.withColumn("_w", F.try_divide("_w", F.sum("_w").over(cls)))
     # Each row grows ``points``-fold after its exchange, so the number of partitions
     # is set rather than derived from the few bytes before it. Both sums then run
     # without a further exchange, as their keys contain the partitioning columns.
     spread = cells.sparkSession.sparkContext.defaultParallelism
     by_lon = (
-        merged.repartition(spread, "risk_class", "lat_bin")
+        shared.repartition(spread, "risk_class", "lat_bin")
         .withColumn("gx", grid)
         .withColumn("_p", F.col("_w") * _kernel(at("gx", lon_range) - F.col("lon_bin"), width))
         .groupBy("risk_class", "gx", "lat_bin")
@@ -113,14 +115,15 @@ def density_map(
         .groupBy("risk_class", "gx", "gy")
         .agg(F.sum("_q").alias("_q"))
     )
-    return by_both.join(totals, "risk_class").select(
+    return by_both.select(
         "risk_class", "gx", "gy",
         at("gx", lon_range).alias("lon"), at("gy", lat_range).alias("lat"),
-        F.try_divide(F.col("_q"), F.col("_total") * (width * width)).alias("density"),
+        (F.col("_q") / (width * width)).alias("density"),
     )
 
 
 def dense_region(density: DataFrame, share: float = 0.95) -> DataFrame:
     """Grid points whose density exceeds the class's quantile (linear interpolation)."""
-    cut = density.groupBy("risk_class").agg(F.percentile("density", F.lit(share)).alias("threshold"))
-    return density.join(cut, "risk_class").where(F.col("density") > F.col("threshold"))
+    # The grid of a class has a fixed number of points.
+    cut = F.percentile("density", F.lit(share)).over(Window.partitionBy("risk_class"))
+    return density.withColumn("threshold", cut).where(F.col("density") > F.col("threshold"))

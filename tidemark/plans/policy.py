@@ -115,18 +115,33 @@ def visit_panel(
     visits: DataFrame, treated: DataFrame, before: int = 2015, after: int = 2017
 ) -> DataFrame:
     """Visits per (year, port state) with policy and period flags, ports in both years."""
-    counts = (
+    # Both counts of a port are taken in one pass, so the visits are read once.
+    def count(year: int):
+        return F.count(F.when(F.col("year") == year, F.col("start_timestamp")))
+
+    def seen(year: int):
+        return F.max(F.col("year") == year)
+
+    ports = (
         visits.where(F.col("year").isin(before, after))
-        .groupBy("year", "port_iso3")
-        .agg(F.count("start_timestamp").alias("n_visits"))
+        .groupBy("port_iso3")
+        .agg(
+            *[count(y).alias(f"_n{i}") for i, y in enumerate((before, after))],
+            *[seen(y).alias(f"_s{i}") for i, y in enumerate((before, after))],
+        )
+        .where("_s0 and _s1")
     )
-    both = counts.groupBy("port_iso3").agg(F.count("year").alias("_years")).where("_years = 2")
     flags = treated.select(F.col("iso3").alias("port_iso3"), F.lit(1).alias("policy")).distinct()
+    periods = F.array(
+        *[
+            F.struct(F.lit(y).alias("year"), F.col(f"_n{i}").alias("n_visits"), F.lit(i).alias("after"))
+            for i, y in enumerate((before, after))
+        ]
+    )
     return (
-        counts.join(both.drop("_years"), "port_iso3", "left_semi")
-        .join(flags, "port_iso3", "left")
+        ports.join(flags, "port_iso3", "left")
         .fillna(0, ["policy"])
-        .withColumn("after", F.when(F.col("year") == before, 0).otherwise(1))
+        .select("port_iso3", "policy", F.inline(periods))
         .select("year", "port_iso3", "n_visits", "policy", "after")
     )
 
@@ -135,22 +150,16 @@ def trim_small_ports(panel: DataFrame, share: float = 0.95) -> DataFrame:
     """Drop every port with a count below the cut of the cumulative share.
 
     Counts are added up from the largest; the cut is the first count whose running
-    share passes ``share``. Equal counts share a step, so the running sum is over
-    distinct counts. The panel holds two rows per port state.
+    share passes ``share``, and equal counts share a step. The panel holds two rows
+    per port state, which bounds the windows over all of it.
     """
-    steps = panel.groupBy("n_visits").agg(F.sum("n_visits").alias("_step"))
-    downward = Window.orderBy(F.desc("n_visits")).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.orderBy(F.desc("n_visits")).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    cut = (
-        steps.withColumn("_share", F.sum("_step").over(downward) / F.sum("_step").over(everything))
-        .where(F.col("_share") > share)
-        .agg(F.max("n_visits").alias("_cut"))
-    )
-    # ``cut`` is one row.
-    small = panel.join(F.broadcast(cut), F.col("n_visits") < F.col("_cut")).select("port_iso3")
-    return panel.join(small.distinct(), "port_iso3", "left_anti")
+    n = F.col("n_visits")
+    downward = Window.orderBy(F.desc("n_visits")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    everything = Window.partitionBy(F.lit(1))
+    shared = panel.withColumn("_share", F.sum(n).over(downward) / F.sum(n).over(everything))
+    cut = shared.withColumn("_cut", F.max(F.when(F.col("_share") > share, n)).over(everything))
+    small = F.max(F.when(n < F.col("_cut"), 1).otherwise(0)).over(Window.partitionBy("port_iso3"))
+    return cut.withColumn("_small", small).where("_small = 0").drop("_share", "_cut", "_small")
 
 
 def policy_effect(panel: DataFrame) -> DataFrame:
@@ -160,28 +169,31 @@ def policy_effect(panel: DataFrame) -> DataFrame:
     the effect is the difference of mean differences and its standard error comes
     from the differences of the ports.
     """
-    top = panel.agg(F.max("n_visits").alias("_top"))
-    # ``top`` is one row.
-    scaled = panel.crossJoin(F.broadcast(top)).withColumn("_y", F.log(F.col("n_visits") / F.col("_top")))
-    ports = scaled.groupBy("port_iso3", "policy").agg(
-        F.max(F.when(F.col("after") == 0, F.col("_y"))).alias("_y0"),
-        F.max(F.when(F.col("after") == 1, F.col("_y"))).alias("_y1"),
+    # Scaling by the largest count only shifts the intercept, so it is applied there.
+    y = F.log(F.col("n_visits"))
+    ports = panel.groupBy("port_iso3", "policy").agg(
+        F.max(F.when(F.col("after") == 0, y)).alias("_y0"),
+        F.max(F.when(F.col("after") == 1, y)).alias("_y1"),
     ).withColumn("_d", F.col("_y1") - F.col("_y0"))
     arms = ports.groupBy("policy").agg(
         F.count("_d").alias("n"), F.avg("_y0").alias("y0"), F.avg("_d").alias("d"),
         F.var_samp("_y0").alias("v0"), F.var_samp("_d").alias("vd"),
+        F.max(F.greatest("_y0", "_y1")).alias("top"),
     )
 
     def arm(c: str, policy: int):
         return F.max(F.when(F.col("policy") == policy, F.col(c)))
 
-    wide = arms.agg(*[arm(c, p).alias(f"{c}_{p}") for c in ("n", "y0", "d", "v0", "vd") for p in (0, 1)])
+    wide = arms.agg(
+        F.max("top").alias("top"),
+        *[arm(c, p).alias(f"{c}_{p}") for c in ("n", "y0", "d", "v0", "vd") for p in (0, 1)],
+    )
 
     def se(v: str, *policies: int):
         return F.sqrt(sum((F.col(f"{v}_{p}") / F.col(f"n_{p}") for p in policies), F.lit(0.0)))
 
     terms = [
-        ("intercept", F.col("y0_0"), se("v0", 0)),
+        ("intercept", F.col("y0_0") - F.col("top"), se("v0", 0)),
         ("policy", F.col("y0_1") - F.col("y0_0"), se("v0", 0, 1)),
         ("after", F.col("d_0"), se("vd", 0)),
         ("policy:after", F.col("d_1") - F.col("d_0"), se("vd", 0, 1)),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import classes
@@ -33,13 +33,11 @@ def complete_trips(trips: DataFrame, columns: Sequence[str] = FACTORS) -> DataFr
     return trips
 
 
-def observed_trips(
-    trips: DataFrame, risk: str = "iuu", *, null_votes: str = "zero", carrier_style: bool = False
-) -> DataFrame:
-    """Trips whose arrival port got votes, with ``risk_score``.
+def has_votes(risk: str = "iuu", *, null_votes: str = "zero", carrier_style: bool = False) -> Column:
+    """Did the arrival port get votes? Never NULL.
 
-    ``null_votes="zero"`` counts a missing vote as none; ``"propagate"`` leaves out
-    a trip with any missing vote.
+    ``null_votes="zero"`` counts a missing vote as none; with ``"propagate"`` a trip
+    with any missing vote has none.
     """
     votes = [F.col(c) for c in vote_columns(risk, carrier_style)]
     if null_votes == "zero":
@@ -48,7 +46,16 @@ def observed_trips(
         total = sum(votes, F.lit(0))
     else:
         raise ValueError(f"null_votes must be 'zero' or 'propagate', not {null_votes!r}")
-    return trips.where(total > 0).withColumn("risk_score", classes.risk_score(*votes))
+    return F.coalesce(total > 0, F.lit(False))
+
+
+def observed_trips(
+    trips: DataFrame, risk: str = "iuu", *, null_votes: str = "zero", carrier_style: bool = False
+) -> DataFrame:
+    """Trips whose arrival port got votes, with ``risk_score``."""
+    votes = [F.col(c) for c in vote_columns(risk, carrier_style)]
+    kept = trips.where(has_votes(risk, null_votes=null_votes, carrier_style=carrier_style))
+    return kept.withColumn("risk_score", classes.risk_score(*votes))
 
 
 def one_hot(df: DataFrame, categories: Mapping[str, Sequence[str]] = CATEGORIES) -> DataFrame:
@@ -142,6 +149,7 @@ def impute_cell_mean(
     levels = observed.rollup(*factors).agg(
         F.avg(score).alias("_mean"), F.grouping_id().alias("_level")
     )
+    # Each level is bounded by the category counts; the overall mean is one row.
     out = trips.withColumn("_all", F.lit(1))
     for depth in range(len(factors), -1, -1):
         names = factors[:depth]
@@ -227,7 +235,8 @@ def risk_table(trips: DataFrame, risk: str = "iuu", impute=impute_cell_mean) ->
     """
     complete = complete_trips(trips)
     observed = observed_trips(complete, risk)
-    rest = seen_classes(unobserved(complete, observed), observed)
+    # A trip tells by itself whether it was observed, so no join sets the rest apart.
+    rest = seen_classes(complete.where(~has_votes(risk)), observed)
     return scored_trips(observed, impute(rest, observed))
 
 

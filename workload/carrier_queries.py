@@ -11,7 +11,7 @@ from tidemark.plans.voyages import voyages_from_legs
 from workload.inputs import ENCOUNTERS, VOYAGES, Inputs
 from workload.inputs_sql import flag_group, gear_class, time_at_sea
 from workload.registry import query
-from workload.voyage_queries import attributes, good, light_years, votes_sql, voyage_core
+from workload.voyage_queries import attributes, light_years, offset_vessels, votes_sql, voyage_core
 
 EVENT = (
     "event_id event event_start:t event_end:t lat_mean:d lon_mean:d median_distance_km median_speed_knots"
@@ -210,8 +210,10 @@ def touching(q: Inputs):
     "dock_stops", "stored_voyages",
 )
 def port_stop_table(q: Inputs):
+    # Few of these vessels pass every quality rule, so the light rules serve here.
+    kept = vessels.good_vessels(light_years(q), offset_vessels(q))
     return ports.port_stop_table(
-        q.port_visits(), q.vessel_daily(), good(q), attributes(q), q.anchorages(), q.stored_voyages(), LONG_PAUSE
+        q.port_visits(), q.vessel_daily(), kept, attributes(q), q.anchorages(), q.stored_voyages(), LONG_PAUSE
     )
 
 

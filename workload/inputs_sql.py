@@ -387,8 +387,8 @@ cte("dock_stops", """
     JOIN attributes t ON v.ssvid = t.ssvid AND d.year = t.year
     JOIN anchorages a ON d.anchorage_id = a.s2id
     WHERE t.is_fishing AND a.at_dock AND duration_min IS NOT NULL
-      AND (v.ssvid, d.year) IN (SELECT (ssvid, year) FROM good)""",
-    "durations_720", "vessel_daily", "attributes", "anchorages", "good")
+      AND (v.ssvid, d.year) IN (SELECT (ssvid, year) FROM light_years WHERE ssvid NOT IN (SELECT ssvid FROM offset_vessels))""",
+    "durations_720", "vessel_daily", "attributes", "anchorages", "light_years", "offset_vessels")
 
 # -- port visits of the policy study -----------------------------------------------------------------
 
