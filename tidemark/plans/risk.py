@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import classes
+from tidemark.session import cut_lineage
 
 FACTORS = ("flag_group", "vessel_class", "time_at_sea")
 CATEGORIES: dict[str, Sequence[str]] = {
@@ -185,9 +186,12 @@ def impute_boosted(
     from pyspark.ml.regression import GBTRegressor
 
     factors = list(factors)
-    cells = observed.groupBy(*factors).agg(
-        F.avg(score).alias("_label"), F.count(score).cast("double").alias("_weight")
-    ).where(F.col("_weight") > 0)
+    # The learner reads its input many times; the few combinations are stored once.
+    cells = cut_lineage(
+        observed.groupBy(*factors)
+        .agg(F.avg(score).alias("_label"), F.count(score).cast("double").alias("_weight"))
+        .where(F.col("_weight") > 0)
+    )
     wanted = trips.select(*factors).distinct()
     model = Pipeline(
         stages=[
