@@ -127,6 +127,28 @@ def carrier_factors(design: DataFrame) -> DataFrame:
     )
 
 
+CARRIER_DESIGN = ("is_tas", "is_flag", "with_flag", "with_gear", "loitering")
+
+
+def carrier_scores(
+    encounters: DataFrame, loitering: DataFrame, risk: str = "iuu", impute=None
+) -> DataFrame:
+    """Carrier trips with observed or imputed scores and their class.
+
+    A trip is observed if its arrival port has every vote and some vote. ``impute``
+    takes (rest, observed) and returns the rest with ``risk_score``; by default the
+    mean of the observed trips most alike.
+    """
+    trips = carrier_factors(carrier_design(encounters, loitering))
+    voted = has_votes(risk, null_votes="propagate", carrier_style=True)
+    observed = observed_trips(trips, risk, null_votes="propagate", carrier_style=True)
+    if impute is None:
+        predicted = impute_cell_mean(trips.where(~voted), observed, CARRIER_DESIGN)
+    else:
+        predicted = impute(trips.where(~voted), observed)
+    return scored_trips(observed, predicted, ("trip_id", "risk_score"))
+
+
 def unobserved(trips: DataFrame, observed: DataFrame, key: Sequence[str] = ("trip_id",)) -> DataFrame:
     """Trips that are not in the observed set."""
     return trips.join(observed.select(*key).distinct(), list(key), "left_anti")
@@ -179,7 +201,8 @@ def impute_boosted(
     Under squared loss a tree depends on the data only through the weight and mean
     score of each combination of categories. The learner is given those
     combinations, weighted, so its input is bounded however many trips there are;
-    predictions are joined back by combination. Columns are drawn per node.
+    predictions are joined back by combination. Columns are drawn per node. Carrier
+    trips are scored with ``factors=CARRIER_DESIGN, rate=0.01, trees=300``.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler

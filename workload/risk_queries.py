@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from math import factorial
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import classes
 from tidemark.plans import attribution, effort, report, risk
 from workload.inputs import Inputs
-from workload.inputs_sql import with_ctes  # noqa: F401
 from workload.registry import query
 
 CELL = "lat_bin:d lon_bin:d risk_class:i fishing_hours:d"
@@ -148,18 +149,6 @@ def risk_classes(q: Inputs):
     return risk.risk_table(q.trips())
 
 
-@query(
-    "l11_map_points", "lon_mean:d lat_mean:d risk_score:d risk_class:i",
-    f"""(SELECT lon_mean, lat_mean, risk_score, {_CLASS} FROM (
-          SELECT trip_id, lon_mean, lat_mean FROM carrier_rows UNION ALL SELECT trip_id, lon_mean, lat_mean FROM carrier_loitering)
-        JOIN (SELECT trip_id, risk_score FROM observed_trips UNION ALL SELECT trip_id, risk_score FROM predicted_trips) USING (trip_id)
-        WHERE risk_score IS NOT NULL)""",
-    "carrier_rows", "carrier_loitering", "observed_trips", "predicted_trips",
-)
-def map_points(q: Inputs):
-    return risk.map_points(q.carrier_rows(), q.carrier_loitering(), risk.risk_table(q.trips()))
-
-
 # -- attribution -----------------------------------------------------------------------------------
 
 FACTORS = ["flag", "gear", "tas"]
@@ -167,7 +156,6 @@ _TERMS = {
     "flag": "m_flag", "gear": "m_gear", "tas": "m_tas",
     "flag x gear": "flag_x_gear", "flag x tas": "flag_x_tas", "gear x tas": "gear_x_tas",
 }
-_NO_K = "SELECT * FROM attributed_rows"
 
 
 def _terms(q: Inputs):
@@ -232,7 +220,69 @@ def combinations(q: Inputs):
     return attribution.combination_effects(_terms(q), FACTORS)
 
 
-CARRIER = ["is_tas", "is_flag", "with_flag", "with_gear", "loitering"]
+CARRIER = list(risk.CARRIER_DESIGN)
+
+
+def _signature_sql(column: str, names) -> str:
+    shown = ", ".join(f"CASE WHEN bool_or({column} = '{v}') THEN '{v}' END" for v in names)
+    return f"array_to_string(list_filter([{shown}], lambda x: x IS NOT NULL), '+')"
+
+
+_CARRIER_CELLS = f"""SELECT *, to_iuu_no + to_iuu_low + to_iuu_med + to_iuu_high AS votes,
+      to_iuu_low / 3.0::DOUBLE + to_iuu_med * 2 / 3.0::DOUBLE + to_iuu_high - to_iuu_no AS score FROM (
+    SELECT trip_id, first(time_at_sea) AS is_tas, first(carrier_flag_group) AS is_flag,
+      {_signature_sql('neighbor_flag_group', classes.FLAG_GROUP_NAMES)} AS with_flag,
+      {_signature_sql('neighbor_vessel_class', classes.GEAR_CLASS_NAMES)} AS with_gear,
+      CASE WHEN trip_id IN (SELECT trip_id FROM carrier_loitering) THEN 'loitering' ELSE 'no_loitering' END AS loitering,
+      {', '.join(f'first(to_iuu_{v}) AS to_iuu_{v}' for v in ('no', 'low', 'med', 'high'))}
+    FROM carrier_rows WHERE neighbor_vessel_class IS NOT NULL GROUP BY trip_id)"""
+
+
+def _back_off_sql() -> str:
+    names = list(risk.CARRIER_DESIGN)
+    joins, means = [], []
+    for depth in range(len(names), 0, -1):
+        by = ", ".join(names[:depth])
+        joins.append(
+            f"LEFT JOIN (SELECT {by}, avg(score) AS m{depth} FROM cells WHERE votes > 0 GROUP BY {by}) USING ({by})"
+        )
+        means.append(f"m{depth}")
+    overall = "(SELECT avg(score) FROM cells WHERE votes > 0)"
+    return f"SELECT trip_id, coalesce({', '.join(means)}, {overall}) AS risk_score FROM cells {' '.join(joins)} WHERE coalesce(votes, 0) <= 0"
+
+
+@query(
+    "l06_carrier_risk_classes", "trip_id risk_score:d type risk_class:i",
+    f"""(WITH cells AS MATERIALIZED ({_CARRIER_CELLS})
+        SELECT *, {_CLASS} FROM (SELECT trip_id, score AS risk_score, 'obs' AS type FROM cells WHERE votes > 0
+          UNION ALL SELECT trip_id, risk_score, 'pred' FROM ({_back_off_sql()})))""",
+    "carrier_rows", "carrier_loitering",
+)
+def carrier_risk_classes(q: Inputs):
+    return risk.carrier_scores(q.carrier_rows(), q.carrier_loitering())
+
+
+@query("l05_carrier_imputed_by_boosted_trees", "trip_id risk_score:d type risk_class:i")
+def carrier_boosted(q: Inputs):
+    def trees(rest, seen):
+        return risk.impute_boosted(rest, seen, risk.CARRIER_DESIGN, rate=0.01, trees=8, depth=4)
+
+    return risk.carrier_scores(q.carrier_rows(), q.carrier_loitering(), impute=trees)
+
+
+@query(
+    "l11_map_points", "lon_mean:d lat_mean:d risk_score:d risk_class:i",
+    f"""(WITH cells AS MATERIALIZED ({_CARRIER_CELLS}),
+          scores AS (SELECT trip_id, score AS risk_score FROM cells WHERE votes > 0 UNION ALL {_back_off_sql()})
+        SELECT lon_mean, lat_mean, risk_score, {_CLASS} FROM (
+          SELECT trip_id, lon_mean, lat_mean FROM carrier_rows UNION ALL SELECT trip_id, lon_mean, lat_mean FROM carrier_loitering)
+        JOIN scores USING (trip_id) WHERE risk_score IS NOT NULL)""",
+    "carrier_rows", "carrier_loitering",
+)
+def map_points(q: Inputs):
+    return risk.map_points(
+        q.carrier_rows(), q.carrier_loitering(), risk.carrier_scores(q.carrier_rows(), q.carrier_loitering())
+    )
 
 
 def _carrier_terms(q: Inputs):
@@ -243,12 +293,78 @@ def _carrier_terms(q: Inputs):
     )
 
 
-@query("l08_carrier_attribution_importance", "term " + STATS)
+def _carrier_attribution_sql() -> str:
+    """All terms per observed carrier trip, by a window mean per subset of factors."""
+    names = list(risk.CARRIER_DESIGN)
+    k = len(names)
+    means = ", ".join(
+        f"avg(score) OVER ({'PARTITION BY ' + ', '.join(n for i, n in enumerate(names) if m >> i & 1) if m else ''}) AS v{m}"
+        for m in range(1 << k)
+    )
+    parts = {}
+    for i in range(k):
+        for j in range(i + 1, k):
+            a, b = 1 << i, 1 << j
+            parts[i, j] = " + ".join(
+                f"(v{m | a | b} - v{m | a} - v{m | b} + v{m}) / {2 * 24 // (factorial(m.bit_count()) * factorial(k - 2 - m.bit_count()))}"
+                for m in range(1 << k) if not m & (a | b)
+            )
+    pairs = ", ".join(f"{x} AS t{i}_{j}" for (i, j), x in parts.items())
+    whole = ", ".join(
+        "({}) / {} AS p{}".format(
+            " + ".join(
+                f"(v{m | 1 << i} - v{m}) * {factorial(m.bit_count()) * factorial(k - 1 - m.bit_count())}"
+                for m in range(1 << k) if not m & (1 << i)
+            ),
+            factorial(k), i,
+        )
+        for i in range(k)
+    )
+    mains = ", ".join(
+        f"p{i} - " + " - ".join(f"t{min(i, j)}_{max(i, j)}" for j in range(k) if j != i) + f" AS m{i}" for i in range(k)
+    )
+    return (
+        f"SELECT *, {mains} FROM (SELECT *, {pairs}, {whole} FROM (SELECT *, {means} FROM"
+        f" ({_CARRIER_CELLS}) WHERE votes > 0))"
+    )
+
+
+def _carrier_importance_sql() -> str:
+    names = list(risk.CARRIER_DESIGN)
+    columns = {n: f"m{i}" for i, n in enumerate(names)}
+    columns |= {f"{names[i]} x {names[j]}": f"t{i}_{j}" for i in range(len(names)) for j in range(i + 1, len(names))}
+    rows = " UNION ALL ".join(f"SELECT '{t}' AS term, abs({c}) AS x FROM terms" for t, c in columns.items())
+    return f"""(WITH terms AS MATERIALIZED ({_carrier_attribution_sql()})
+        SELECT term, avg(x) AS mean, stddev_samp(x) AS sd, stddev_samp(x) / sqrt(count(*)) AS se,
+          quantile_cont(x, 0.025) AS lower, quantile_cont(x, 0.975) AS upper FROM ({rows}) GROUP BY term)"""
+
+
+def _carrier_combination_sql() -> str:
+    names = list(risk.CARRIER_DESIGN)
+
+    def shown(n: str) -> str:
+        return f"unnest(string_split({n}, '+'))" if n.startswith("with_") else n
+
+    rows = " UNION ALL ".join(
+        f"SELECT '{names[i]}' AS factor1, {shown(names[i])} AS category1, '{names[j]}' AS factor2, category2, value, v0 FROM"
+        f" (SELECT *, {shown(names[j])} AS category2, m{i} + m{j} + 2 * t{i}_{j} AS value FROM terms)"
+        for i in range(len(names)) for j in range(i + 1, len(names))
+    )
+    inner = _effect_sql("factor1, category1, factor2, category2", rows)
+    return f"(WITH terms AS MATERIALIZED ({_carrier_attribution_sql()}) SELECT * FROM {inner})"
+
+
+@query(
+    "l08_carrier_attribution_importance", "term " + STATS, _carrier_importance_sql(), "carrier_rows", "carrier_loitering"
+)
 def carrier_importance(q: Inputs):
     return attribution.importance(_carrier_terms(q), CARRIER)
 
 
-@query("l10_carrier_combination_effects", "factor1 category1 factor2 category2 rows:i " + STATS)
+@query(
+    "l10_carrier_combination_effects", "factor1 category1 factor2 category2 rows:i " + STATS,
+    _carrier_combination_sql(), "carrier_rows", "carrier_loitering",
+)
 def carrier_combinations(q: Inputs):
     return attribution.combination_effects(_carrier_terms(q), CARRIER, signatures=("with_flag", "with_gear"))
 
