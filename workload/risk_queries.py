@@ -135,7 +135,7 @@ def boosted(q: Inputs):
     return risk.impute_boosted(rest, seen, trees=10, depth=5)
 
 
-_CLASS = "CASE WHEN risk_score < 0 THEN 0 WHEN risk_score < 2 THEN 1 ELSE 2 END AS risk_class"
+_CLASS = "CASE WHEN round(risk_score, 9) < 0 THEN 0 WHEN round(risk_score, 9) < 2 THEN 1 ELSE 2 END AS risk_class"
 
 
 @query(
