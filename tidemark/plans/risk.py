@@ -172,16 +172,17 @@ def impute_cell_mean(
     levels = observed.rollup(*factors).agg(
         F.avg(score).alias("_mean"), F.grouping_id().alias("_level")
     )
-    # Each level is bounded by the category counts; the overall mean is one row.
-    out = trips.withColumn("_all", F.lit(1))
-    for depth in range(len(factors), -1, -1):
+    out = trips
+    for depth in range(len(factors), 0, -1):
         names = factors[:depth]
+        # Bounded by the category counts.
         at_level = levels.where(F.col("_level") == (1 << (len(factors) - depth)) - 1).select(
-            *names, F.lit(1).alias("_all"), F.col("_mean").alias(f"_m{depth}")
+            *names, F.col("_mean").alias(f"_m{depth}")
         )
-        out = out.join(at_level, [*names, "_all"], "left")
-    means = [f"_m{d}" for d in range(len(factors), -1, -1)]
-    return out.withColumn(score, F.coalesce(*means)).drop("_all", *means)
+        out = out.join(at_level, names, "left")
+    overall = levels.where(F.col("_level") == (1 << len(factors)) - 1).select("_mean").scalar()
+    means = [f"_m{d}" for d in range(len(factors), 0, -1)]
+    return out.withColumn(score, F.coalesce(*means, overall)).drop(*means)
 
 
 def impute_boosted(
