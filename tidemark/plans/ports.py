@@ -12,7 +12,11 @@ from tidemark.functions.clock import whole_minutes
 from tidemark.operators.sequences import ordered_scan
 from tidemark.operators.skew import HotGroups, hot_groups
 from tidemark.params import PortStopParams
-from tidemark.plans.vessels import resolve_identity, restrict_to_vessel_years
+from tidemark.plans.vessels import (
+    resolve_identity,
+    restrict_to_vessel_years,
+    vessels_in_every_year,
+)
 
 # A visit is named by its vessel and both its bounds.
 VISIT = ["vessel_id", "start_timestamp", "end_timestamp"]
@@ -182,8 +186,6 @@ def port_visit_table(
     The study years and the vessel filters drop rows only, so they run first; the
     attribute and encounter joins keep every visit.
     """
-    from tidemark.plans.vessels import vessels_in_every_year
-
     places = anchorages.select(
         F.col("s2id").alias("start_anchorage_id"),
         F.col("label").alias("port_name"), F.col("iso3").alias("port_iso3"),
