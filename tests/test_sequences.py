@@ -1,12 +1,13 @@
 """Ordered scans and run merging, plain and in slices, against brute force."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.sequences import merge_runs, ordered_scan
-from tidemark.operators.skew import hot_groups
+from tidemark.operators.skew import SLICE, large_groups, slice_groups
 
 
 def rows(seed=1, n=400):
@@ -54,43 +55,52 @@ def expected_scan(data):
 def test_scan_matches_brute_force(spark, seed, limit):
     data = rows(seed)
     df = spark.createDataFrame(data, SCHEMA).repartition(5)
-    hot = hot_groups(df, "k", limit=limit)
-    assert bool(hot) == (limit == 25)
+    sliced = slice_groups(df, ["k"], ["t", "id"], limit=limit)
+    assert (SLICE in sliced.columns) == (limit == 25)
     got = ordered_scan(
-        df, ["k"], ["t", "id"],
-        previous={"p": "x"}, following={"n": "x"}, fill_forward={"f": "x"}, fill_backward={"b": "x"}, hot=hot,
+        sliced, ["k"], ["t", "id"],
+        previous={"p": "x"}, following={"n": "x"}, fill_forward={"f": "x"}, fill_backward={"b": "x"},
     )
     assert {r.id: (r.p, r.n, r.f, r.b) for r in got.collect()} == expected_scan(data)
     assert got.count() == len(data)
 
 
-def test_hot_groups_are_exact(spark):
+def test_only_large_groups_are_sliced(spark):
     data = rows()
     df = spark.createDataFrame(data, SCHEMA)
     counts = {}
     for r in data:
         counts[r[0]] = counts.get(r[0], 0) + 1
-    hot = hot_groups(df, "k", limit=45)
-    assert {v[0] for v in hot.values} == {k for k, n in counts.items() if n > 45}
-    kept = df.where(hot.contains()).count()
-    assert kept == sum(n for n in counts.values() if n > 45)
-    assert df.where(~hot.contains()).count() == len(data) - kept
-
-
-def test_hot_groups_on_two_keys(spark):
-    df = spark.range(200).select((F.col("id") % 2).alias("a"), F.when(F.col("id") % 4 < 3, F.lit("x")).alias("b"))
-    hot = hot_groups(df, "a", "b", limit=60)
-    assert sorted(hot.values) == [(0, "x")]
-    assert df.where(hot.contains()).count() == 100
+    large = {k for k, n in counts.items() if n > 45}
+    got = slice_groups(df, ["k"], ["t", "id"], limit=45).collect()
+    assert len(got) == len(data)
+    assert {r.k for r in got if r[SLICE] >= 0} == large
+    assert {r.k for r in got if r[SLICE] < 0} == set(counts) - large
+    assert len({r[SLICE] for r in got if r.k == "hot"}) > 2
+
+
+def test_many_large_keys_of_three_columns(spark):
+    """The keys are a table, not literals: planning does not depend on their number."""
+    df = spark.range(100_000).select(
+        (F.col("id") % 50_000).alias("a"), F.lit("b").alias("b"), F.lit(None).cast("int").alias("c"), "id"
+    )
+    assert large_groups(df, ["a", "b", "c"], limit=1).count() == 50_000
+    began = time.time()
+    cut = slice_groups(df, ["a", "b", "c"], ["id"], limit=1, slice_rows=10_000)
+    scanned = ordered_scan(cut, ["a", "b", "c"], ["id"], previous={"p": "id"})
+    assert len(scanned._jdf.queryExecution().optimizedPlan().toString()) < 50_000
+    assert scanned.where("p = id - 50000").count() == 50_000
+    assert time.time() - began < 120
 
 
 @pytest.mark.parametrize("limit", [10**6, 25])
 def test_merge_runs(spark, limit):
     data = rows(3)
     df = spark.createDataFrame(data, SCHEMA).withColumn("e", F.col("t") + 1).repartition(4)
+    df = slice_groups(df, ["k"], ["t", "id"], limit=limit)
     merged = merge_runs(
         df, ["k"], ["t", "id"], start="t", end="e", glued="glued",
-        first=["id"], last=["x"], last_by=["t", "id"], hot=hot_groups(df, "k", limit=limit),
+        first=["id"], last=["x"], last_by=["t", "id"],
     )
     want = set()
     for key, group in grouped(data).items():

@@ -1,9 +1,9 @@
 """Ordered per-group scans: neighbours, fills and run merging.
 
 ``ordered_scan`` is the single place where rows of a group are looked at in order.
-Ordinary groups use window functions over one exchange. Groups named in ``hot``
-are range-partitioned by (key, order) into slices; each slice is scanned on its
-own and a small table with one row per slice carries values across the seams.
+Ordinary groups use window functions over one exchange. Groups that
+:func:`tidemark.operators.skew.slice_groups` has cut are scanned slice by slice, and a
+small table with one row per slice carries values across the seams.
 """
 
 from __future__ import annotations
@@ -14,11 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.skew import HotGroups
+from tidemark.operators.skew import SLICE
 from tidemark.session import cut_lineage
 
-_SLICE = "_slice"
-
 
 def ordered_scan(
     df: DataFrame,
@@ -29,7 +27,6 @@ def ordered_scan(
     following: Mapping[str, str] | None = None,
     fill_forward: Mapping[str, str] | None = None,
     fill_backward: Mapping[str, str] | None = None,
-    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Add columns that look along the rows of each group.
 
@@ -43,10 +40,10 @@ def ordered_scan(
     to make the order total. A new column may replace an input column.
     """
     wanted = (previous or {}, following or {}, fill_forward or {}, fill_backward or {})
-    if not hot:
+    if SLICE not in df.columns:
         return _scan_in_windows(df, list(key), list(order), wanted)
-    plain = _scan_in_windows(df.where(~hot.contains()), list(key), list(order), wanted)
-    sliced = _scan_in_slices(df.where(hot.contains()), list(key), list(order), wanted, hot.slices)
+    plain = _scan_in_windows(df.where(F.col(SLICE) < 0), list(key), list(order), wanted)
+    sliced = _scan_in_slices(df.where(F.col(SLICE) >= 0), list(key), list(order), wanted)
     return plain.unionByName(sliced)
 
 
@@ -71,16 +68,12 @@ def _scan_in_windows(df, key, order, wanted) -> DataFrame:
     return df.withColumns(new)
 
 
-def _scan_in_slices(df, key, order, wanted, slices) -> DataFrame:
+def _scan_in_slices(df, key, order, wanted) -> DataFrame:
     previous, following, forward, backward = wanted
-    # The checkpoint fixes which row is in which slice, also after a recomputation.
-    rows = cut_lineage(
-        df.repartitionByRange(max(2, slices), *key, *order).withColumn(
-            _SLICE, F.spark_partition_id()
-        )
-    )
+    # Read twice below, for the seams and for the rows.
+    rows = cut_lineage(df)
     position = F.struct(*order)
-    edges = rows.groupBy(*key, _SLICE).agg(
+    edges = rows.groupBy(*key, SLICE).agg(
         F.lit(True).alias("_edge"),
         *[F.max_by(F.struct(c), position).alias(f"_p_{o}") for o, c in previous.items()],
         *[F.min_by(F.struct(c), position).alias(f"_n_{o}") for o, c in following.items()],
@@ -88,18 +81,18 @@ def _scan_in_slices(df, key, order, wanted, slices) -> DataFrame:
         *[F.min_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_b_{o}") for o, c in backward.items()],
     )
     # One row per slice (two where a key starts inside one): a bounded group.
-    along = Window.partitionBy(*key).orderBy(_SLICE)
+    along = Window.partitionBy(*key).orderBy(SLICE)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     after = along.rowsBetween(1, Window.unboundedFollowing)
     carry = edges.select(
         *[F.col(k).alias(f"_k_{k}") for k in key],
-        F.col(_SLICE).alias("_k_slice"),
+        F.col(SLICE).alias("_k_slice"),
         *[F.lag(f"_p_{o}").over(along)[c].alias(f"_p_{o}") for o, c in previous.items()],
         *[F.lead(f"_n_{o}").over(along)[c].alias(f"_n_{o}") for o, c in following.items()],
         *[F.last(f"_f_{o}", ignorenulls=True).over(before).alias(f"_f_{o}") for o in forward],
         *[F.first(f"_b_{o}", ignorenulls=True).over(after).alias(f"_b_{o}") for o in backward],
     )
-    local = [*key, _SLICE]
+    local = [*key, SLICE]
     ascending, reversed_ = _windows(local, order)
     so_far = ascending.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     so_far_reversed = reversed_.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -113,11 +106,8 @@ def _scan_in_slices(df, key, order, wanted, slices) -> DataFrame:
             **{f"_lb_{o}": F.last(c, ignorenulls=True).over(so_far_reversed) for o, c in backward.items()},
         }
     )
-    # ``carry`` holds at most (slices + hot keys) rows, so broadcasting it is bounded.
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key]
-    joined = scanned.join(
-        F.broadcast(carry), [*same, F.col(_SLICE) == F.col("_k_slice")], "left"
-    )
+    joined = scanned.join(carry, [*same, F.col(SLICE) == F.col("_k_slice")], "left")
     new: dict[str, Column] = {}
     for o in previous:
         new[o] = F.when(F.col("_at_start"), F.col(f"_p_{o}")).otherwise(F.col(f"_lp_{o}"))
@@ -142,7 +132,6 @@ def merge_runs(
     first: Sequence[str],
     last: Sequence[str],
     last_by: Sequence[str],
-    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Glue each row with ``glued`` true to the row after it, one row per run.
 
@@ -152,7 +141,7 @@ def merge_runs(
     ``first`` come from the earliest row of the run by ``order``, columns ``last``
     from the latest row by ``last_by``.
     """
-    flagged = ordered_scan(df, key, order, previous={"_glued_before": glued}, hot=hot)
+    flagged = ordered_scan(df, key, order, previous={"_glued_before": glued})
     bounded = flagged.withColumns(
         {
             "_from": F.when(F.col("_glued_before"), F.lit(None)).otherwise(F.col(start)),
@@ -160,12 +149,15 @@ def merge_runs(
         }
     )
     filled = ordered_scan(
-        bounded, key, order, fill_forward={"_from": "_from"}, fill_backward={"_to": "_to"}, hot=hot
+        bounded, key, order, fill_forward={"_from": "_from"}, fill_backward={"_to": "_to"}
     )
     runs = filled.groupBy(*key, "_from", "_to").agg(
         F.min_by(F.struct(*first), F.struct(*order)).alias("_first"),
         F.max_by(F.struct(*last), F.struct(*last_by)).alias("_last"),
+        # A run that spans slices belongs to the slice of its first row.
+        *[F.min(SLICE).alias(SLICE) for _ in [SLICE] if SLICE in df.columns],
     )
     return runs.select(
-        *key, F.col("_from").alias(start), F.col("_to").alias(end), "_first.*", "_last.*"
+        *key, F.col("_from").alias(start), F.col("_to").alias(end), "_first.*", "_last.*",
+        *[c for c in [SLICE] if c in df.columns],
     )

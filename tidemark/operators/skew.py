@@ -1,78 +1,62 @@
-"""Finding groups too large for one task.
+"""Cutting groups too large for one task into slices.
 
-Window functions send a whole group to one task. The scans in
-:mod:`tidemark.operators.sequences` therefore ask first which groups are large
-and process those in slices. Joins and aggregates need no such test: aggregates
-combine map-side, and adaptive execution splits a skewed join partition.
+Window functions send a whole group to one task. A chain of scans therefore asks once
+which groups are large and cuts those into slices by their order; the scans in
+:mod:`tidemark.operators.sequences` work on slices where there are any. Joins and
+aggregates need no such step: aggregates combine map-side, and adaptive execution
+splits a skewed join partition.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import rows_per_group
+from tidemark.session import cut_lineage, rows_per_group
 
-# Fixed number of hash buckets of the first, coarse count.
-_BUCKETS = 1 << 16
+# Number of the slice a row belongs to; -1 in groups that are not cut.
+SLICE = "_slice"
 
 
-@dataclass(frozen=True)
-class HotGroups:
-    """Groups above the row limit: their key values and how many slices they need."""
-
-    keys: tuple[str, ...]
-    values: tuple[tuple, ...] = ()
-    slices: int = 0
-
-    def __bool__(self) -> bool:
-        return bool(self.values)
+def large_groups(df: DataFrame, key: Sequence[str], limit: int | None = None) -> DataFrame:
+    """The keys with more than ``limit`` rows and their counts (``_rows``)."""
+    limit = limit or rows_per_group(df.sparkSession)
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
 
-    def contains(self) -> Column:
-        """Row predicate (never NULL): does the row belong to a large group?"""
-        if len(self.keys) == 1:
-            column = F.col(self.keys[0])
-            plain = [v[0] for v in self.values if v[0] is not None]
-            hit = F.coalesce(column.isin(plain), F.lit(False)) if plain else F.lit(False)
-            return hit | column.isNull() if len(plain) < len(self.values) else hit
-        return reduce(
-            lambda a, b: a | b,
-            (
-                reduce(
-                    lambda a, b: a & b,
-                    (F.col(k).eqNullSafe(F.lit(x)) for k, x in zip(self.keys, v)),
-                )
-                for v in self.values
-            ),
-        )
 
+def slice_groups(
+    df: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str],
+    limit: int | None = None,
+    slice_rows: int | None = None,
+) -> DataFrame:
+    """``df`` with column ``_slice`` if any group by ``key`` has more than ``limit`` rows.
 
-def hot_groups(df: DataFrame, *keys: str, limit: int | None = None) -> HotGroups:
-    """Groups of ``df`` by ``keys`` with more than ``limit`` rows.
+    Slices have about ``slice_rows`` rows, half the limit by default.
 
-    First a count over hash buckets of the key, whose shuffle is bounded by the
-    bucket count; exact counts follow only inside buckets over the limit. At most
-    ``rows / limit`` key values reach the driver.
+    The large keys stay a table: rows find theirs by a join, and only the number of
+    slices reaches the driver. Rows of large groups are range-partitioned once by (key,
+    order); the checkpoint fixes which row is in which slice, also after a
+    recomputation. Scans that follow keep the slices.
     """
     limit = limit or rows_per_group(df.sparkSession)
-    bucketed = df.select(
-        *keys, F.pmod(F.xxhash64(*keys), F.lit(_BUCKETS)).cast("int").alias("_bucket")
-    )
-    full = [
-        r._bucket
-        for r in bucketed.groupBy("_bucket").count().where(F.col("count") > limit).collect()
-    ]
-    if not full:
-        return HotGroups(keys)
-    counts = (
-        bucketed.where(F.col("_bucket").isin(full))
-        .groupBy(*keys)
-        .count()
-        .where(F.col("count") > limit)
-        .collect()
+    large = cut_lineage(large_groups(df, key, limit))
+    rows = large.agg(F.sum("_rows")).first()[0]
+    if not rows:
+        return df
+    slices = max(2, -(-rows // (slice_rows or max(1, limit // 2))))
+    named = large.select(*[F.col(k).alias(f"_large_{k}") for k in key], F.lit(True).alias("_large"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_large_{k}")) for k in key))
+    tagged = df.join(named, same, "left")
+    plain = tagged.where(F.col("_large").isNull()).select(*df.columns, F.lit(-1).alias(SLICE))
+    cut = (
+        tagged.where(F.col("_large"))
+        .select(*df.columns)
+        .repartitionByRange(slices, *key, *order)
+        .withColumn(SLICE, F.spark_partition_id())
     )
-    slices = sum(-(-2 * r["count"] // limit) for r in counts)
-    return HotGroups(keys, tuple(tuple(r[k] for k in keys) for r in counts), slices)
+    return plain.unionByName(cut_lineage(cut))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import classes
 from tidemark.functions.clock import whole_minutes
 from tidemark.operators.sequences import ordered_scan
-from tidemark.operators.skew import HotGroups, hot_groups
+from tidemark.operators.skew import slice_groups
 from tidemark.params import PortStopParams
 from tidemark.plans.vessels import (
     resolve_identity,
@@ -35,9 +35,7 @@ def explode_events(port_visits: DataFrame) -> DataFrame:
     )
 
 
-def drop_implausible(
-    events: DataFrame, order: Sequence[str] = ORDER, hot: HotGroups | None = None
-) -> DataFrame:
+def drop_implausible(events: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
     """Stop begins and ends without implausible brackets.
 
     A begin right after a gap and an end right before one are implausible; so is
@@ -46,7 +44,7 @@ def drop_implausible(
     """
     kind = F.col("event_type")
     near = ordered_scan(
-        events, VISIT, order, previous={"_before": "event_type"}, following={"_after": "event_type"}, hot=hot
+        events, VISIT, order, previous={"_before": "event_type"}, following={"_after": "event_type"}
     )
     flagged = near.withColumn(
         "_flag",
@@ -55,7 +53,7 @@ def drop_implausible(
         ),
     ).where(kind.isin(BEGIN, END))
     partners = ordered_scan(
-        flagged, VISIT, order, previous={"_before": "_flag"}, following={"_after": "_flag"}, hot=hot
+        flagged, VISIT, order, previous={"_before": "_flag"}, following={"_after": "_flag"}
     )
     orphan = ((F.col("_before") == "begin") & (kind == END)) | (
         (F.col("_after") == "end") & (kind == BEGIN)
@@ -69,31 +67,27 @@ def join_close_stops(
     stops: DataFrame,
     params: PortStopParams = PortStopParams(),
     order: Sequence[str] = ORDER,
-    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Remove the end and the begin around a short pause at one anchorage of a visit."""
     near = ordered_scan(
         stops, VISIT, order,
         previous={"_kind": "event_type", "_place": "anchorage_id", "_time": "timestamp"},
-        hot=hot,
     )
     pause = F.when(
         (F.col("event_type") == BEGIN) & (F.col("_kind") == END) & (F.col("anchorage_id") == F.col("_place")),
         whole_minutes(F.col("_time"), F.col("timestamp")),
     )
     short = near.withColumn("_short", F.coalesce(pause < params.short_gap_min, F.lit(False)))
-    both = ordered_scan(short, VISIT, order, following={"_short_next": "_short"}, hot=hot)
+    both = ordered_scan(short, VISIT, order, following={"_short_next": "_short"})
     return both.where(~F.col("_short") & ~F.coalesce("_short_next", F.lit(False))).drop(
         "_kind", "_place", "_time", "_short", "_short_next"
     )
 
 
-def stop_durations(
-    stops: DataFrame, order: Sequence[str] = ORDER, hot: HotGroups | None = None
-) -> DataFrame:
+def stop_durations(stops: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
     """One row per begin, with the end right after it and the whole minutes between."""
     near = ordered_scan(
-        stops, VISIT, order, following={"_kind": "event_type", "_time": "timestamp"}, hot=hot
+        stops, VISIT, order, following={"_kind": "event_type", "_time": "timestamp"}
     )
     finish = F.when(F.col("_kind") == END, F.col("_time"))
     return near.where(F.col("event_type") == BEGIN).select(
@@ -111,12 +105,10 @@ def port_stops(
 ) -> DataFrame:
     """Port visits with nested events -> cleaned stops with duration.
 
-    All four scans share one exchange by visit.
+    All four scans share one exchange by visit; large visits are sliced once.
     """
-    events = explode_events(port_visits)
-    hot = hot_groups(events, *VISIT)
-    plausible = drop_implausible(events, order, hot)
-    return stop_durations(join_close_stops(plausible, params, order, hot), order, hot)
+    events = slice_groups(explode_events(port_visits), VISIT, order)
+    return stop_durations(join_close_stops(drop_implausible(events, order), params, order), order)
 
 
 def dock_stops(stops: DataFrame, anchorages: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import classes
 from tidemark.functions.clock import hex_millis, hours_between, null_after, null_before
 from tidemark.operators.sequences import merge_runs, ordered_scan
-from tidemark.operators.skew import HotGroups, hot_groups
+from tidemark.operators.skew import SLICE, slice_groups
 from tidemark.operators.spatial import radius_join
 from tidemark.params import VoyageParams
 
@@ -80,7 +80,15 @@ def flag_canal_ends(
     return legs.join(canal, "trip_end_anchorage_id", "left").fillna(False, ["ends_in_canal"])
 
 
-def merge_canal_transits(legs: DataFrame, hot: HotGroups | None = None) -> DataFrame:
+def distinct_legs(legs: DataFrame) -> DataFrame:
+    """Each leg once; a repeated leg would pass for the leg after itself.
+
+    Dealt by vessel first, so that the scans that follow need no further exchange.
+    """
+    return legs.repartition(*KEY).dropDuplicates()
+
+
+def merge_canal_transits(legs: DataFrame) -> DataFrame:
     """Glue legs that end in the canal to the next leg of the vessel.
 
     The end port of the merged trip is that of the latest known end.
@@ -91,21 +99,20 @@ def merge_canal_transits(legs: DataFrame, hot: HotGroups | None = None) -> DataF
         first=["trip_start_anchorage_id"],
         last=["trip_end_anchorage_id"],
         last_by=["trip_end", "trip_start", "trip_start_anchorage_id", "trip_end_anchorage_id"],
-        hot=hot,
     )
 
 
-def with_port_stops(trips: DataFrame, hot: HotGroups | None = None) -> DataFrame:
+def with_port_stops(trips: DataFrame) -> DataFrame:
     """Hours in port until the vessel's next trip starts; NULL for its last trip."""
     return (
-        ordered_scan(trips, KEY, ORDER, following={"_next_start": "trip_start"}, hot=hot)
+        ordered_scan(trips, KEY, ORDER, following={"_next_start": "trip_start"})
         .withColumn("port_stop_duration_hr", hours_between(F.col("trip_end"), F.col("_next_start")))
         .drop("_next_start")
     )
 
 
 def merge_short_stops(
-    trips: DataFrame, params: VoyageParams = VoyageParams(), hot: HotGroups | None = None
+    trips: DataFrame, params: VoyageParams = VoyageParams()
 ) -> DataFrame:
     """Glue trips whose port stop is shorter than ``min_port_stop_hr`` to the next.
 
@@ -119,7 +126,6 @@ def merge_short_stops(
         first=["trip_start_anchorage_id"],
         last=["trip_end_anchorage_id", "port_stop_duration_hr"],
         last_by=ORDER,
-        hot=hot,
     )
 
 
@@ -173,14 +179,12 @@ def voyages_from_legs(
 ) -> DataFrame:
     """The voyage core: legs -> merged, labelled voyages with trip ids.
 
-    One exchange by vessel serves both merges. Duplicate legs need no separate
-    removal, since equal legs fall into one run.
+    One exchange by vessel serves the removal of duplicate legs and both merges.
     """
-    hot = hot_groups(legs, "ssvid")
-    cleaned = clean_legs(legs, params)
-    transits = merge_canal_transits(flag_canal_ends(cleaned, anchorages, params), hot)
-    voyages = merge_short_stops(with_port_stops(transits, hot), params, hot)
-    return final_trips(label_voyages(voyages, anchorages), params)
+    flagged = flag_canal_ends(clean_legs(legs, params), anchorages, params)
+    transits = merge_canal_transits(slice_groups(distinct_legs(flagged), KEY, ORDER))
+    voyages = merge_short_stops(with_port_stops(transits), params)
+    return final_trips(label_voyages(voyages.drop(SLICE), anchorages), params)
 
 
 # -- ports -----------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import hot_groups
+from tidemark.operators.skew import slice_groups
 from tidemark.params import PortStopParams
 from tidemark.plans import encounters, ports, vessels
 from tidemark.plans.voyages import voyages_from_legs
@@ -156,8 +156,7 @@ def port_events(q: Inputs):
 
 @query("k38_plausible_stops", VISIT + " timestamp:t anchorage_id event_type", "plausible", "plausible")
 def plausible_stops(q: Inputs):
-    events = port_events(q)
-    return ports.drop_implausible(events, hot=hot_groups(events, *ports.VISIT))
+    return ports.drop_implausible(slice_groups(port_events(q), ports.VISIT, ports.ORDER))
 
 
 @query("k39_close_stops_joined", VISIT + " timestamp:t anchorage_id event_type", "joined_30", "joined_30")

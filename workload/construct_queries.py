@@ -11,7 +11,7 @@ from tidemark.functions.clock import hex_millis, hours_between, null_after, null
 from tidemark.functions.geo import cell_area_km2, degree_bin, haversine_m, inside_world, midpoint
 from tidemark.operators.intervals import contained_in
 from tidemark.operators.sequences import ordered_scan
-from tidemark.operators.skew import hot_groups
+from tidemark.operators.skew import slice_groups
 from tidemark.operators.spatial import far_from_all, radius_join
 from tidemark.plans import policy, risk, vessels, voyages
 from tidemark.session import scratch_path
@@ -546,9 +546,8 @@ _W = "(PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
 
 def _scan(q: Inputs, **wanted):
     orders = q.table("orders").withColumn("gap", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice")))
-    return ordered_scan(
-        orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], hot=hot_groups(orders, "o_custkey"), **wanted
-    )
+    key, order = ["o_custkey"], ["o_orderdate", "o_orderkey"]
+    return ordered_scan(slice_groups(orders, key, order), key, order, **wanted)
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import classes
-from tidemark.operators.skew import hot_groups
+from tidemark.operators.skew import slice_groups
 from tidemark.plans import vessels, voyages
 from workload.inputs import VOYAGES, Inputs
 from workload.inputs_sql import flag_group, gear_class, time_at_sea
@@ -40,17 +40,18 @@ def canal_flags(q: Inputs):
 @query("k04_canal_transits_merged", ENDS, "transits", "transits")
 def transits(q: Inputs):
     flagged = voyages.flag_canal_ends(clean_legs(q), q.anchorages(), VOYAGES)
-    return voyages.merge_canal_transits(flagged, hot_groups(q.legs(), "ssvid"))
+    legs = voyages.distinct_legs(flagged)
+    return voyages.merge_canal_transits(slice_groups(legs, voyages.KEY, voyages.ORDER))
 
 
 @query("k05_port_stop_hours", ENDS + " port_stop_duration_hr:d", "stops", "stops")
 def port_stop_hours(q: Inputs):
-    return voyages.with_port_stops(transits(q), hot_groups(q.legs(), "ssvid"))
+    return voyages.with_port_stops(transits(q))
 
 
 @query("k06_short_stops_merged", ENDS + " port_stop_duration_hr:d", "voyages", "voyages")
 def short_stops(q: Inputs):
-    return voyages.merge_short_stops(port_stop_hours(q), VOYAGES, hot_groups(q.legs(), "ssvid"))
+    return voyages.merge_short_stops(port_stop_hours(q), VOYAGES)
 
 
 @query("k07_labelled_voyages", ENDS + " port_stop_duration_hr:d " + SIDES, "labelled", "labelled")
