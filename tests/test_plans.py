@@ -84,6 +84,11 @@ def test_duplicate_legs_change_nothing(spark):
     assert run_core(spark, legs * 3) == run_core(spark, legs)
 
 
+def test_duplicate_open_leg_after_canal_starts_no_trip(spark):
+    legs = [("1", hours(0), hours(10), "x", "c1"), ("1", hours(12), datetime(2100, 1, 1), "c1", "ACTIVE_VOYAGE")]
+    assert run_core(spark, legs * 2) == run_core(spark, legs)
+
+
 def test_trip_id_before_1970(spark):
     df = spark.sql("select timestamp'0001-02-03 00:00:00' as t union all select timestamp'2015-01-01 00:00:00'")
     assert sorted(r[0] for r in df.select(hex_millis(F.col("t"))).collect()) == ["-3882683afc00", "014aa2cab000"]

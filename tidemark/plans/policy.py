@@ -12,10 +12,10 @@ from tidemark.functions import classes
 
 # Gear classes of the study, in the spelling of the port-visit table.
 FISHING_GEAR = (
-    "trollers trawlers squid_jigger set_longlines set_gillnets "
-    "purse_seine pots_and_traps pole_and_line driftnets drifting_longlines"
-).split()
-OTHER_CLASSES = "bunker cargo specialized_reefer tanker".split()
+    "trollers", "trawlers", "squid_jigger", "set_longlines", "set_gillnets",
+    "purse_seine", "pots_and_traps", "pole_and_line", "driftnets", "drifting_longlines",
+)
+OTHER_CLASSES = ("bunker", "cargo", "specialized_reefer", "tanker")
 
 # Corrections of the party lists, (added, removed) per year of entry.
 COHORT_CORRECTIONS = {2016: (["DNK"], []), 2017: (["GRL", "FRO"], ["DNK"])}
@@ -99,6 +99,11 @@ def foreign_visits(visits: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def without_ports(visits: DataFrame, states: DataFrame) -> DataFrame:
+    """Visits but those to ports of ``states`` (iso3), before any mapping to sovereigns."""
+    return visits.join(states.select(F.col("iso3").alias("port_iso3")), "port_iso3", "left_anti")
+
+
 def select_cohort(visits: DataFrame, name: str) -> DataFrame:
     """Visits of one vessel class, of all fishing gear, or of one flag group."""
     if name in FISHING_GEAR or name in OTHER_CLASSES:
@@ -208,3 +213,22 @@ def policy_effect(panel: DataFrame) -> DataFrame:
             )
         )
     )
+
+
+def policy_study(
+    visits: DataFrame,
+    parties: DataFrame,
+    pairs: DataFrame,
+    cohort: str = "fishing_gear",
+    years: tuple[int, int] = (2015, 2017),
+    treated_year: int = 2016,
+    excluded_year: int = 2017,
+) -> DataFrame:
+    """The study from port visits to the trimmed panel.
+
+    States that joined in ``treated_year`` are the treated ones; those that joined in
+    ``excluded_year`` are neither treated nor controls and leave the data first.
+    """
+    kept = without_ports(visits, policy_cohort(parties, excluded_year))
+    chosen = select_cohort(foreign_visits(kept, pairs), cohort)
+    return trim_small_ports(visit_panel(chosen, policy_cohort(parties, treated_year), *years))

@@ -71,7 +71,9 @@ class Inputs:
     # -- trips ---------------------------------------------------------------------
 
     def legs(self) -> DataFrame:
-        return self.table("orders").selectExpr(
+        """Every ninth leg is listed twice."""
+        twice = self.table("orders").withColumn("_copy", F.expr("explode(sequence(0, int(o_orderkey % 9 = 0)))"))
+        return twice.selectExpr(
             "cast(o_custkey AS string) AS ssvid",
             "array(cast(o_custkey AS string)) AS vessel_ids",
             "CASE WHEN o_orderkey % 101 = 0 THEN timestamp'1800-01-01 00:00:00'"
@@ -301,11 +303,6 @@ class Inputs:
             "n_nationkey * 2 + i AS position",
         )
 
-    def treated(self) -> DataFrame:
-        return self.table("nation").where("n_regionkey IN (0, 1)").selectExpr(
-            "concat('N', lpad(cast(n_nationkey AS string), 2, '0')) AS iso3"
-        )
-
     def policy_dates(self) -> DataFrame:
         """Countries with an entry date as text; blank and aggregate rows included."""
         return self.table("nation").selectExpr(

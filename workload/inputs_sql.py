@@ -72,7 +72,7 @@ cte("legs", """
       CASE WHEN o_orderkey % 101 = 0 THEN 'NO_PREVIOUS_DATA' WHEN o_orderkey % 97 = 0 THEN '10000001'
         ELSE 'a' || (o_orderkey % 100) END AS trip_start_anchorage_id,
       CASE WHEN o_orderkey % 103 = 0 THEN 'ACTIVE_VOYAGE' ELSE 'a' || ((o_orderkey * 7 + 3) % 100) END AS trip_end_anchorage_id
-    FROM orders""")
+    FROM orders JOIN range(2) r(i) ON i = 0 OR o_orderkey % 9 = 0""")
 cte("vessel_info", f"""
     SELECT id::VARCHAR AS ssvid,
       CASE k % 11 WHEN 0 THEN 'BOUY 7' WHEN 1 THEN 'X 55%' WHEN 2 THEN '3.7V' WHEN 3 THEN 'ABC@12V3'
@@ -435,15 +435,19 @@ cte("foreign_visits", """
     SELECT v.*, coalesce(f.sovereign, v.flag) AS flag_sovereign, coalesce(p.sovereign, v.port_iso3) AS port_iso3_sovereign
     FROM panel_visits v LEFT JOIN sovereigns f ON v.flag = f.territory LEFT JOIN sovereigns p ON v.port_iso3 = p.territory
     WHERE coalesce(f.sovereign, v.flag) <> coalesce(p.sovereign, v.port_iso3)""", "panel_visits", "sovereigns")
+cte("entered", """
+    SELECT 2015 + n_nationkey % 3 AS entry_year, 'N' || lpad(n_nationkey::VARCHAR, 2, '0') AS iso3 FROM nation
+    WHERE n_nationkey % 8 <> 7 AND n_nationkey <> 4 AND n_nationkey % 5 <> 3""")
+cte("panel_counts", """
+    SELECT year, port_iso3, count(start_timestamp) AS n_visits FROM foreign_visits
+    WHERE vessel_class IN ('trawlers', 'purse_seine') AND year IN (1996, 1998)
+      AND port_iso3 NOT IN (SELECT iso3 FROM entered WHERE entry_year = 2017) GROUP BY ALL""", "foreign_visits", "entered")
 cte("panel", """
-    SELECT c.year, c.port_iso3, n_visits, CASE WHEN n_regionkey IN (0, 1) THEN 1 ELSE 0 END AS policy,
+    SELECT c.year, c.port_iso3, n_visits,
+      CASE WHEN c.port_iso3 IN (SELECT iso3 FROM entered WHERE entry_year = 2016) THEN 1 ELSE 0 END AS policy,
       CASE WHEN c.year = 1996 THEN 0 ELSE 1 END AS after
-    FROM (SELECT year, port_iso3, count(start_timestamp) AS n_visits FROM foreign_visits
-          WHERE vessel_class IN ('trawlers', 'purse_seine') AND year IN (1996, 1998) GROUP BY ALL) c
-    JOIN nation ON c.port_iso3 = 'N' || lpad(n_nationkey::VARCHAR, 2, '0')
-    WHERE c.port_iso3 IN (SELECT port_iso3 FROM foreign_visits WHERE year = 1996 AND vessel_class IN ('trawlers', 'purse_seine')
-        INTERSECT SELECT port_iso3 FROM foreign_visits WHERE year = 1998 AND vessel_class IN ('trawlers', 'purse_seine'))""",
-    "foreign_visits")
+    FROM panel_counts c
+    WHERE (SELECT count(*) FROM panel_counts o WHERE o.port_iso3 = c.port_iso3) = 2""", "panel_counts", "entered")
 cte("trimmed_panel", """
     SELECT * FROM panel WHERE port_iso3 NOT IN (
       SELECT port_iso3 FROM panel WHERE n_visits < (

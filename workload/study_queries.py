@@ -44,13 +44,20 @@ PANEL = "year:i port_iso3 n_visits:i policy:i after:i"
 @query("l14_visit_panel", PANEL, "panel", "panel")
 def panel(q: Inputs):
     pairs = policy.sovereign_pairs(q.zones(), position="position")
-    visits = policy.select_cohort(policy.foreign_visits(q.panel_visits(), pairs), "fishing_gear")
-    return policy.visit_panel(visits, q.treated(), 1996, 1998)
+    parties = policy.policy_parties(q.policy_dates())
+    kept = policy.without_ports(q.panel_visits(), policy.policy_cohort(parties, 2017))
+    visits = policy.select_cohort(policy.foreign_visits(kept, pairs), "fishing_gear")
+    return policy.visit_panel(visits, policy.policy_cohort(parties, 2016), 1996, 1998)
 
 
 @query("l15_trimmed_panel", PANEL, "trimmed_panel", "trimmed_panel")
 def trimmed(q: Inputs):
-    return policy.trim_small_ports(panel(q))
+    return policy.policy_study(
+        q.panel_visits(),
+        policy.policy_parties(q.policy_dates()),
+        policy.sovereign_pairs(q.zones(), position="position"),
+        years=(1996, 1998),
+    )
 
 
 _PORTS = """(SELECT port_iso3, policy, max(CASE WHEN after = 0 THEN y END) AS y0, max(CASE WHEN after = 1 THEN y END)
