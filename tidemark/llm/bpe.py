@@ -16,8 +16,14 @@ from functools import lru_cache
 
 # A stretch over this many bytes is worked out anew each time it occurs.
 STORED_BYTES = 96
-# Entries of the dictionary of one task; when full it starts over.
-STORED = 200_000
+# Entries of a dictionary; when full it starts over.
+STORED = 400_000
+
+# Fixed value: the splitting pattern that has a plain form for Latin text.
+LATIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+# Printable ASCII and the Latin letters of one code point up to U+00FF.
+_LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
 
 
 def byte_characters() -> list[str]:
@@ -56,6 +62,17 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in added}
         longest_first = sorted(self.special, key=len, reverse=True)
         self.special_pattern = re.compile("|".join(map(re.escape, longest_first)) or "(?!)")
+        # Where the file's steps are known, Latin stretches are split without the library;
+        # composing, lower-casing and splitting are the same there.
+        steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.latin = (
+            steps == ["NFC", "Replace", "Lowercase"]
+            and splits[0].get("pattern") == {"Regex": LATIN_SPLIT}
+            and splits[0].get("behavior") == "Removed"
+            and splits[0].get("invert") is True
+        )
+        self.byte_names = byte_characters()
         self.tokens: dict[int, str] = {i: t for t, i in self.ids.items()} | {
             i: t for t, i in self.special.items()
         }
@@ -73,6 +90,12 @@ class Vocabulary:
     def _split(self, text: str) -> list[str]:
         if not text:
             return []
+        if self.latin and _LATIN.fullmatch(text):
+            pieces = _LATIN_PIECES.findall(text.lower())
+            if text.isascii():
+                return pieces
+            names = self.byte_names
+            return ["".join([names[b] for b in p.encode()]) for p in pieces]
         normal = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
         return [piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
@@ -85,7 +108,7 @@ class Vocabulary:
         return [self.tokens.get(i, "") for i in range(max(self.tokens, default=-1) + 1)]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     """The vocabulary at ``path``, loaded once per Python worker."""
     return Vocabulary(path)
@@ -99,14 +122,15 @@ def merge_all(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]
     changed since they were pushed are skipped. Returns the number of merges.
     """
     n = len(symbols)
-    after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
+    find = merges.get
     heap = []
-    for i in range(n - 1):
-        found = merges.get((symbols[i], symbols[i + 1]))
+    for i, pair in enumerate(zip(symbols, symbols[1:])):
+        found = find(pair)
         if found:
-            heap.append((found[0], i, found[1], symbols[i], symbols[i + 1]))
+            heap.append((found[0], i, found[1], *pair))
     heapq.heapify(heap)
+    after = list(range(1, n + 1))
+    before = list(range(-1, n - 1))
     done = 0
     while heap:
         _, i, merged, left, right = heapq.heappop(heap)
@@ -120,28 +144,29 @@ def merge_all(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            found = merges.get((merged, symbols[k]))
+            found = find((merged, symbols[k]))
             if found:
                 heapq.heappush(heap, (found[0], i, found[1], merged, symbols[k]))
         h = before[i]
         if h >= 0:
-            found = merges.get((symbols[h], merged))
+            found = find((symbols[h], merged))
             if found:
                 heapq.heappush(heap, (found[0], h, found[1], symbols[h], merged))
     return done
 
 
-class Stretches(dict):
-    """Results per blank-free stretch of bytes, worked out when first asked for."""
+class Known(dict):
+    """Results by text, worked out when first asked for; a worker keeps them across tasks."""
 
-    def __init__(self, work: Callable[[str], object]):
+    def __init__(self, work: Callable[[str], object], stored_length: int = STORED_BYTES):
         super().__init__()
         self.work = work
+        self.stored_length = stored_length
 
-    def __missing__(self, stretch: bytes):
-        value = self.work(stretch.decode("utf-8", "replace"))
-        if len(stretch) <= STORED_BYTES:
+    def __missing__(self, text: str | bytes):
+        value = self.work(text.decode("utf-8", "replace") if isinstance(text, bytes) else text)
+        if len(text) <= self.stored_length:
             if len(self) >= STORED:
                 self.clear()
-            self[stretch] = value
+            self[text] = value
         return value

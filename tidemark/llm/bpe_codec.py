@@ -19,6 +19,7 @@ ignored. Ids are little-endian unsigned 32-bit integers in one binary value.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import Stretches, Vocabulary, merge_all, vocabulary
+from tidemark.llm.bpe import Known, Vocabulary, merge_all, vocabulary
 from tidemark.llm.common import whole_text
 
 LEAF = 1024
@@ -83,15 +84,16 @@ def join_tree(vocab: Vocabulary, symbols: Symbols, leaves: list[list[int]]) -> l
     return leaves[0] if leaves else []
 
 
-def encode_stretch(vocab: Vocabulary, stretch: str) -> list[int]:
-    """Ids of one stretch whose pre-tokens need no tree."""
-    out: list[int] = []
-    for piece in vocab.pre_tokens(stretch):
-        if isinstance(piece, int):
-            out.append(piece)
-        else:
-            out += merged(vocab, vocab.symbols(piece))
-    return out
+@lru_cache(maxsize=2)
+def stretch_ids(vocab_path: str) -> Known:
+    """Ids of blank-free stretches whose pre-tokens need no tree."""
+    vocab = vocabulary(vocab_path)
+    pieces = Known(lambda piece: to_bytes(merged(vocab, vocab.symbols(piece))))
+
+    def encode_stretch(stretch: str) -> bytes:
+        return b"".join([to_bytes([p]) if isinstance(p, int) else pieces[p] for p in vocab.pre_tokens(stretch)])
+
+    return Known(encode_stretch)
 
 
 def _has_long_stretch(text: Column, leaf: int) -> Column:
@@ -100,8 +102,7 @@ def _has_long_stretch(text: Column, leaf: int) -> Column:
 
 def _encode_short(rows: DataFrame, vocab_path: str, kind: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(vocab_path)
-        ids = Stretches(lambda stretch: to_bytes(encode_stretch(vocab, stretch)))
+        ids = stretch_ids(vocab_path)
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             yield pa.record_batch(

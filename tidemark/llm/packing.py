@@ -26,6 +26,7 @@ import bisect
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import Stretches, vocabulary
+from tidemark.llm.bpe import Known, vocabulary
 from tidemark.llm.common import whole_text, written
 
 CAPACITY = 2048
@@ -140,6 +141,23 @@ def plan_windows(histogram: dict[int, int], capacity: int) -> Plan:
     return plan
 
 
+@lru_cache(maxsize=2)
+def stretch_ids(vocab_path: str) -> Known:
+    """Ids of blank-free stretches; the merges are the library's."""
+    vocab = vocabulary(vocab_path)
+
+    def merge(piece: str) -> bytes:
+        return np.asarray([t.id for t in vocab.library.model.tokenize(piece)], "<u4").tobytes()
+
+    pieces = Known(merge)
+
+    def encode(stretch: str) -> bytes:
+        found = vocab.pre_tokens(stretch)
+        return b"".join([p.to_bytes(4, "little") if isinstance(p, int) else pieces[p] for p in found])
+
+    return Known(encode)
+
+
 def tokenised(
     docs: DataFrame, vocab_path: str, id_col: str, text_col: str, end_id: int, capacity: int
 ) -> DataFrame:
@@ -152,13 +170,7 @@ def tokenised(
     kind = rows.schema["id"].dataType.simpleString()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(vocab_path)
-        library = vocab.library
-
-        def encode(stretch: str) -> bytes:
-            return np.asarray(library.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
-
-        ids_of = Stretches(encode)
+        ids_of = stretch_ids(vocab_path)
         end = np.asarray([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         seen: Counter[int] = Counter()

@@ -13,27 +13,33 @@ give a row each; an empty table gives an empty table; further columns are ignore
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import Stretches, Vocabulary, merge_all, vocabulary
+from tidemark.llm.bpe import Known, merge_all, vocabulary
 from tidemark.llm.common import whole_text
 
 TOKEN_LIMIT = 2048
 
 
-def count_stretch(vocab: Vocabulary, stretch: str) -> int:
-    """Tokens of one stretch of text."""
-    total = 0
-    for piece in vocab.pre_tokens(stretch):
-        if isinstance(piece, int):
-            total += 1
-        else:
-            symbols = vocab.symbols(piece)
-            total += len(symbols) - merge_all(symbols, vocab.merges)
-    return total
+@lru_cache(maxsize=2)
+def stretch_counts(vocab_path: str) -> Known:
+    """Token counts of blank-free stretches."""
+    vocab = vocabulary(vocab_path)
+
+    def count_piece(piece: str) -> int:
+        symbols = vocab.symbols(piece)
+        return len(symbols) - merge_all(symbols, vocab.merges)
+
+    pieces = Known(count_piece)
+
+    def count(stretch: str) -> int:
+        return sum(1 if isinstance(p, int) else pieces[p] for p in vocab.pre_tokens(stretch))
+
+    return Known(count)
 
 
 def token_counts(
@@ -46,8 +52,7 @@ def token_counts(
     """One row per input row: id, n_bytes, n_tokens, over_limit."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(vocab_path)
-        tokens = Stretches(lambda stretch: count_stretch(vocab, stretch))
+        tokens = stretch_counts(vocab_path)
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             yield pa.record_batch(
