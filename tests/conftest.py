@@ -25,9 +25,11 @@ def spark(tmp_path_factory):
 
 @pytest.fixture
 def small_groups(spark):
-    """Treat every group of more than 20 rows as too large for one task."""
-    from tidemark.session import ROWS_PER_GROUP
+    """Treat every group of more than 3 rows as too large for one task."""
+    from tidemark.session import ROWS_PER_GROUP, ROWS_PER_SLICE
 
-    spark.conf.set(ROWS_PER_GROUP, "20")
+    spark.conf.set(ROWS_PER_GROUP, "3")
+    spark.conf.set(ROWS_PER_SLICE, "100")
     yield
     spark.conf.unset(ROWS_PER_GROUP)
+    spark.conf.unset(ROWS_PER_SLICE)

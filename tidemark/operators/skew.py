@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage, rows_per_group
+from tidemark.session import cut_lineage, rows_per_group, rows_per_slice
 
 # Number of the slice a row belongs to; -1 in groups that are not cut.
 SLICE = "_slice"
@@ -48,7 +48,7 @@ def slice_groups(
     rows = large.agg(F.sum("_rows")).first()[0]
     if not rows:
         return df
-    slices = max(2, -(-rows // (slice_rows or max(1, limit // 2))))
+    slices = max(2, -(-rows // (slice_rows or rows_per_slice(df.sparkSession, limit))))
     named = large.select(*[F.col(k).alias(f"_large_{k}") for k in key], F.lit(True).alias("_large"))
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_large_{k}")) for k in key))
     tagged = df.join(named, same, "left")

@@ -108,7 +108,7 @@ def select_cohort(visits: DataFrame, name: str) -> DataFrame:
     """Visits of one vessel class, of all fishing gear, or of one flag group."""
     if name in FISHING_GEAR or name in OTHER_CLASSES:
         return visits.where(F.col("vessel_class") == name)
-    fishing = visits.where(F.col("vessel_class").isin(FISHING_GEAR))
+    fishing = visits.where(F.col("vessel_class").isin(list(FISHING_GEAR)))
     if name == "fishing_gear":
         return fishing
     if name in classes.FLAG_GROUP_NAMES:

@@ -13,6 +13,7 @@ from tidemark.operators.sequences import merge_runs, ordered_scan
 from tidemark.operators.skew import SLICE, slice_groups
 from tidemark.operators.spatial import radius_join
 from tidemark.params import VoyageParams
+from tidemark.session import cut_lineage
 
 KEY = ["ssvid"]
 # Total order of the legs of a vessel; the last columns only break ties.
@@ -313,7 +314,8 @@ def fishing_trip_features(
         fishing.withColumnRenamed("year", "start_year"), ["ssvid", "start_year"], "inner"
     )
     sites = anchorages if match_anchorages is None else match_anchorages
-    matched = relabel_ports(match_ports(sites, port_risk, exclude_ports=exclude_ports))
+    # One row per port at most, read at both ends of a trip.
+    matched = cut_lineage(relabel_ports(match_ports(sites, port_risk, exclude_ports=exclude_ports)))
     trips = attach_ports(trips, matched)
     summary = trips.select(
         "trip_id", "trip_start_anchorage_id", "start_anchorage_label",

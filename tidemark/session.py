@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 # A group with more rows than this is processed in slices instead of one task.
 ROWS_PER_GROUP = "tidemark.rowsPerGroup"
 ROWS_PER_GROUP_DEFAULT = 2_000_000
+# Rows of a slice; half of the above unless set.
+ROWS_PER_SLICE = "tidemark.rowsPerSlice"
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -28,6 +30,10 @@ def rows_per_group(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_GROUP, str(ROWS_PER_GROUP_DEFAULT)))
 
 
+def rows_per_slice(spark: SparkSession, limit: int) -> int:
+    return int(spark.conf.get(ROWS_PER_SLICE, str(max(1, limit // 2))))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, ``spark.checkpoint.dir``.
 

@@ -29,11 +29,14 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> D
     return df.sparkSession.read.parquet(path)
 
 
-def write_sharded(df: DataFrame, path: str, time: str) -> None:
-    """Write one partition ``dt=YYYYMMDD`` per day of a timestamp column."""
-    df.withColumn(SHARD, F.date_format(time, "yyyyMMdd")).write.mode("errorifexists").partitionBy(
-        SHARD
-    ).parquet(path)
+def write_sharded(df: DataFrame, path: str, time: str, files: int = 1) -> None:
+    """Write one partition ``dt=YYYYMMDD`` per day of a timestamp column.
+
+    A day goes to at most ``files`` tasks, and so has at most that many files.
+    """
+    sharded = df.withColumn(SHARD, F.date_format(time, "yyyyMMdd"))
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(files))
+    sharded.repartition(SHARD, part).write.mode("errorifexists").partitionBy(SHARD).parquet(path)
 
 
 def read_sharded(
@@ -46,13 +49,15 @@ def read_sharded(
     """A date-sharded table, from shard ``first`` to ``last`` (``YYYYMMDD``, inclusive).
 
     The range is a filter on the partition column, so other shards are not listed
-    or read. Without a range all shards are read.
+    or read. A missing bound leaves that side open.
     """
     reader = spark.read if schema is None else spark.read.schema(schema)
     # Shard names stay strings, as they compare.
     df = reader.parquet(path).withColumn(SHARD, F.col(SHARD).cast("string"))
-    if first is not None and last is not None:
-        return df.where(F.col(SHARD).between(first, last))
+    if first is not None:
+        df = df.where(F.col(SHARD) >= first)
+    if last is not None:
+        df = df.where(F.col(SHARD) <= last)
     return df
 
 

@@ -12,7 +12,7 @@ from tidemark.functions.geo import cell_area_km2, degree_bin, haversine_m, insid
 from tidemark.operators.intervals import contained_in
 from tidemark.operators.sequences import ordered_scan
 from tidemark.operators.skew import slice_groups
-from tidemark.operators.spatial import far_from_all, radius_join
+from tidemark.operators.spatial import far_from_all, near_any as near_any_site, radius_join
 from tidemark.plans import policy, risk, vessels, voyages
 from tidemark.session import scratch_path
 from tidemark.sources import schemas, tables
@@ -343,8 +343,8 @@ _POINTS = """(SELECT c_custkey, (c_custkey * 37) % 170 - 85 + (c_custkey % 5) *
 )
 def near_any(q: Inputs):
     points, sites = _suppliers_and_customers(q)
-    near = radius_join(points, sites, point=("lat", "lon"), site=("site_lat", "site_lon"), radius_m=10_000, strict=True)
-    return near.select("c_custkey").distinct()
+    near = near_any_site(points, sites, point=("lat", "lon"), site=("site_lat", "site_lon"), radius_m=10_000)
+    return near.select("c_custkey")
 
 
 @query("c10_semi_join", "o_orderkey:i", "orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)")
@@ -679,10 +679,11 @@ def category_pairs(q: Inputs):
         orders.select(F.lit("flag").alias("f"), F.col("o_orderpriority").alias("c")).distinct()
         .unionByName(orders.select(F.lit("tas").alias("f"), F.col("o_orderstatus").alias("c")).distinct())
     )
-    # A handful of category names, so an inequality join is small.
-    left, right = categories.alias("x"), categories.alias("y")
+    # Category names are a handful; their pairs are unfolded from one row, without a join.
+    names = categories.agg(F.collect_set(F.struct("f", "c")).alias("names"))
+    pairs = names.withColumn("x", F.explode("names")).withColumn("y", F.explode("names"))
     allowed = (F.col("x.f") != F.col("y.f")) | (F.col("x.c") == F.col("y.c"))
-    return left.join(right, (F.col("x.c") <= F.col("y.c")) & allowed).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+    return pairs.where((F.col("x.c") <= F.col("y.c")) & allowed).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
 
 
 # -- H: scalar functions -----------------------------------------------------------------------------------------

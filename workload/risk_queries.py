@@ -135,6 +135,18 @@ def boosted(q: Inputs):
     return risk.impute_boosted(rest, seen, trees=10, depth=5)
 
 
+@query(
+    "l05_l06_saturated_tree_in_sample", "trip_id risk_score:d",
+    """(SELECT trip_id, avg(risk_score) OVER (PARTITION BY flag_group, vessel_class, time_at_sea) AS risk_score
+        FROM observed_trips WHERE risk_score IS NOT NULL)""",
+    "observed_trips",
+)
+def saturated_tree(q: Inputs):
+    """One full tree of weight 1 over all columns is the cell mean, here on the observed trips."""
+    seen = observed(q).where("risk_score IS NOT NULL")
+    return risk.impute_boosted(seen, seen, rate=1.0, trees=1, depth=20, column_share=1.0)
+
+
 _CLASS = "CASE WHEN round(risk_score, 9) < 0 THEN 0 WHEN round(risk_score, 9) < 2 THEN 1 ELSE 2 END AS risk_class"
 
 
