@@ -15,16 +15,16 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def line_rows():
-    """Two hosts with a menu line; one document consists mostly of it, one is repeated."""
+    """Two hosts with menu lines; one document consists mostly of them, one is repeated."""
     rng = random.Random(9)
-    menu = "Home 12 | About us | " + prose(rng, 30)
+    menus = [f"Home 12 | {k} | " + prose(rng, 28) for k in "abc"]
     out = []
     for i in range(30):
-        lines = [prose(rng, 25) for _ in range(3)]
+        lines = [prose(rng, 45) for _ in range(3)]
         if i % 2:
-            lines.insert(1, menu.replace("12", str(i)))
+            lines[1:1] = [m.replace("12", str(i)) for m in menus]
         out.append((100 + i, "\n".join(lines), "en", "a" if i < 20 else None, 1))
-    out.append((200, "\n".join([menu, menu.upper().replace("12", "7"), " " + menu, prose(rng, 6)]), "en", "a", 1))
+    out.append((200, "\n".join([menus[0], menus[1].upper().replace("12", "7"), " " + menus[2], prose(rng, 6)]), "en", "a", 1))
     return [*out, out[0], *edge_rows()]
 
 
