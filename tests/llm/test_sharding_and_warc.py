@@ -127,7 +127,7 @@ def test_sharding_query(spark):
     folder = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     got = entry.queries()["op4_sharding"](spark, folder).collect()
-    assert Counter(r.doc_id for r in got) == Counter(docs)
+    assert Counter(r.doc_id for r in got) == Counter(list(docs))
     assert all(r.text_crc32 == zlib.crc32(docs[r.doc_id].encode()) and r["size"] == size(docs[r.doc_id]) for r in got)
     assert {(r.law, r.grown_shard) for r in got} == {("bytes", None)}
     slots = defaultdict(list)
