@@ -9,7 +9,9 @@ Equal shingle sets are one class first, so copies never meet as pairs. Inside a
 bucket not all pairs are made: what counts is which classes connect.
 
 1. Every class is compared with the bucket's least class; confirmed links are grouped.
-2. What a large bucket leaves open is settled exactly: in buckets that still hold several
+2. In buckets that still hold several components, classes outside the largest one are
+   compared with another class of the largest, a different one in each bucket.
+3. What a large bucket leaves open is settled exactly: where buckets still hold several
    components, classes outside the largest one look for partners through the rare
    shingles they share. Two sets can only be similar enough if they share one among the
    first few of each in a common order, here by rising frequency; a large group's common
@@ -47,7 +49,7 @@ class NearParams:
     bands: int = 32
     rows: int = 4
     least_agreeing: int = 64
-    slots: int = 1 << 18
+    slots: int = 1 << 20
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, params: NearParams) -> DataFrame:
@@ -160,8 +162,8 @@ def _regrouped(groups: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def _open_classes(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Classes in buckets that hold several components: node, outside (of the largest)."""
+def _open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components: bucket, node, outside (of the largest)."""
     placed = members.join(groups, "node")
     largest = (
         placed.groupBy("bucket", "component")
@@ -170,10 +172,8 @@ def _open_classes(members: DataFrame, groups: DataFrame) -> DataFrame:
         .agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts"))
         .where("parts > 1")
     )
-    return (
-        placed.join(largest, "bucket")
-        .groupBy("node")
-        .agg(F.max(F.col("component") != F.col("largest")).alias("outside"))
+    return placed.join(largest, "bucket").select(
+        "bucket", "node", (F.col("component") != F.col("largest")).alias("outside")
     )
 
 
@@ -290,12 +290,29 @@ def _class_groups(
         "candidate-texts",
     )
     groups = nodes.select("node", F.col("node").alias("component"))
+    def joined(groups: DataFrame, pairs: DataFrame) -> DataFrame:
+        links = written(_confirmed(_agreeing(pairs, classes, params), texts, params), "near-links")
+        return _regrouped(groups, links)
+
     near = members.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     tested = written(_pairs(near), "pairs")
-    links = written(_confirmed(_agreeing(tested, classes, params), texts, params), "near-links")
-    groups = _regrouped(groups, links)
+    groups = joined(groups, tested)
 
-    opened = written(_open_classes(members, groups), "open-classes")
+    open_ = written(_open_members(members, groups), "open-members")
+    other = (
+        open_.where("not outside")
+        .groupBy("bucket")
+        .agg(F.min_by("node", F.struct(F.xxhash64("node", "bucket"), "node")).alias("b"))
+    )
+    near = open_.where("outside").select("bucket", F.col("node").alias("a")).join(other, "bucket")
+    pairs = written(_pairs(near).join(tested, ["u", "v"], "left_anti"), "other-pairs")
+    groups = joined(groups, pairs)
+    tested = tested.union(pairs)
+
+    opened = written(
+        _open_members(members, groups).groupBy("node").agg(F.max("outside").alias("outside")),
+        "open-classes",
+    )
     apart = lambda name: groups.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
     pairs = written(
         _pairs(_partners(opened, texts, params))
@@ -306,8 +323,7 @@ def _class_groups(
         .select("u", "v"),
         "open-pairs",
     )
-    links = written(_confirmed(_agreeing(pairs, classes, params), texts, params), "near-links")
-    groups = _regrouped(groups, links)
+    groups = joined(groups, pairs)
     least = (
         groups.join(classes.select(F.col("digest").alias("node"), "least"), "node")
         .groupBy("component")
