@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import (
     bpe_codec,
     exact_dedup,
+    line_dedup,
     near_dedup,
     packing,
     quality_rules,
@@ -60,6 +61,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     folder = scratch_path(spark, "warc")
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_quality_rules,
         op4_sharding,
         op5_token_counts,
+        op6_line_dedup,
         op7_warc,
         op8_packing,
         op9_bpe_codec,
