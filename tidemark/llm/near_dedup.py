@@ -236,17 +236,23 @@ def _rare_first(texts: DataFrame, params: NearParams) -> DataFrame:
 
 
 def _partners(opened: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame:
-    """Pairs (a, b) with ``a`` outside that could be similar by size and shared rare shingles."""
-    first = written(_rare_first(texts.join(opened, "node"), params), "rare-shingles")
-    a = first.join(opened.where("outside"), "node").select(
-        "shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa")
+    """Pairs (a, b) of different components, ``a`` outside, that could be similar.
+
+    By their sizes and the places of a rare shingle they share; ``opened`` has node,
+    outside and component.
+    """
+    first = written(_rare_first(texts.join(opened, "node"), params).join(opened, "node"), "rare-shingles")
+    a = first.where("outside").select(
+        "shingle", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("pa")
+    )
+    b = first.select(
+        "shingle", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("pb")
     )
-    b = first.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
     # Shingles that two similar sets of these sizes have in common at least.
     p = params.percent
     common = F.expr(f"ceil({p} * (na + nb) / {100 + p})")
     possible = (
-        (F.col("a") != F.col("b"))
+        (F.col("ca") != F.col("cb"))
         & (100 * F.least("na", "nb") >= p * F.greatest("na", "nb"))
         & (F.col("na") - F.col("pa") + 1 >= common)
         & (F.col("nb") - F.col("pb") + 1 >= common)
@@ -290,6 +296,7 @@ def _class_groups(
         "candidate-texts",
     )
     groups = nodes.select("node", F.col("node").alias("component"))
+
     def joined(groups: DataFrame, pairs: DataFrame) -> DataFrame:
         links = written(_confirmed(_agreeing(pairs, classes, params), texts, params), "near-links")
         return _regrouped(groups, links)
@@ -310,18 +317,11 @@ def _class_groups(
     tested = tested.union(pairs)
 
     opened = written(
-        _open_members(members, groups).groupBy("node").agg(F.max("outside").alias("outside")),
+        _open_members(members, groups).groupBy("node").agg(F.max("outside").alias("outside")).join(groups, "node"),
         "open-classes",
     )
-    apart = lambda name: groups.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
     pairs = written(
-        _pairs(_partners(opened, texts, params))
-        .join(tested, ["u", "v"], "left_anti")
-        .join(apart("u"), "u")
-        .join(apart("v"), "v")
-        .where("cu != cv")
-        .select("u", "v"),
-        "open-pairs",
+        _pairs(_partners(opened, texts, params)).join(tested, ["u", "v"], "left_anti"), "open-pairs"
     )
     groups = joined(groups, pairs)
     least = (
