@@ -62,7 +62,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.fuzzy_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.fuzzy_lines(table(spark, sf_dir, "documents"), params=line_dedup.BY_GRAMS)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
