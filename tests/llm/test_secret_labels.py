@@ -1,0 +1,30 @@
+"""Training rows of one label, and of many copies of one value."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from tests.llm.conftest import SCHEMA, prose
+from tidemark.llm import secret_scan
+from tidemark.llm.secret_scan import ScanParams
+
+
+def test_negative_labels_only(spark):
+    """Long words are the only reviewed candidates; a known key elsewhere is still found."""
+    rng = random.Random(31)
+    rows = [(i, f"{prose(rng, 9)} {'tion' * (4 + i % 3)} {prose(rng, 9)}", "en", "s", 0) for i in range(20)]
+    rows.append((20, 'token = "' + "0123456789abcdef" * 2 + '"', "en", "s", 0))
+    reviewed = spark.createDataFrame([(i,) for i in range(10)], "id long")
+    got = secret_scan.scan(spark.createDataFrame(rows, SCHEMA), reviewed).collect()
+    assert len(got) == 21
+    assert [(r.id, r.score) for r in got if r.is_secret] == [(20, 1.0)]
+
+
+def test_copies_of_one_value_leave_room_for_the_other_label(spark):
+    rows = [(f"v{i}", [float(i)], 1 if i < 5 else 0) for i in range(50)]
+    copies = spark.createDataFrame(rows, "value string, features array<double>, label int").withColumn(
+        "c", F.explode(F.sequence(F.lit(1), F.when(F.col("value") == "v7", 500).otherwise(2)))
+    )
+    got = secret_scan.training_rows(copies, ScanParams(sample=40)).collect()
+    assert len(got) == len({(r.value, r.label) for r in got}) == 25
+    assert sum(r.label for r in got) == 5 and all(r.n == (500 if r.value == "v7" else 2) for r in got)

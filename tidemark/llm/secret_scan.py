@@ -5,15 +5,18 @@ its length, character transitions, dictionary coverage, path and neighbouring wo
 trained from labelled findings, decides which candidates are secrets.
 
 The dictionary is a top-k report: the most frequent words over all texts. The forest is
-fitted on a bounded sample of labelled findings (``sample``, those with the least hash);
+fitted on a bounded sample of labelled findings (``sample``): distinct pairs of value and
+label, up to half of them of each label, those with the least hash, with their counts as
+weights;
 counting, candidate search and classification cover every row and whole texts. The
 dictionary (``dictionary`` words of at most 24 bytes) and the forest are the only things
 sent to all tasks.
 
 Defined results: a null or empty text has no findings; null and repeated ids give their
-own findings; a null path is the empty path; without labelled findings of both kinds
-nothing can be told false, so every candidate stays with a score of 1; an empty table gives an
-empty table. Findings carry the id; masking passes further columns through untouched.
+own findings; a null path is the empty path; without negative labelled findings nothing
+can be told false, so every candidate stays with a score of 1; with negative ones only,
+the candidates that :func:`known_format` confirms stay, with a score of 1, and the others
+have 0; an empty table gives an empty table. Findings carry the id; masking passes further columns through untouched.
 """
 
 from __future__ import annotations
@@ -185,23 +188,37 @@ def _row_key(id_col: str, text_col: str, path_col: str) -> Column:
     return text_key(*(F.col(c).cast("string") for c in (id_col, text_col, path_col)))
 
 
-def train(labelled: DataFrame, params: ScanParams) -> RandomForestClassificationModel | None:
-    """Forest from labelled findings (value, features, label 0/1); None without both kinds."""
-    bounded = written(
-        labelled.orderBy(F.xxhash64("value"), "value").limit(params.sample), "labelled-findings"
-    )
-    if bounded.select("label").distinct().count() < 2:
-        return None
+def training_rows(labelled: DataFrame, params: ScanParams) -> DataFrame:
+    """Distinct (value, label) with one feature row and their count n, at most half the sample of each label."""
+    distinct = labelled.groupBy("value", "label").agg(F.min("features").alias("features"), F.count(F.lit(1)).alias("n"))
+    parts = [
+        distinct.where(F.col("label") == label).orderBy(F.xxhash64("value"), "value").limit(params.sample // 2)
+        for label in (0, 1)
+    ]
+    return parts[0].union(parts[1])
+
+
+def train(labelled: DataFrame, params: ScanParams) -> RandomForestClassificationModel | int | None:
+    """Forest from labelled findings (value, features, label 0/1); the label where all have one, None without any."""
+    bounded = written(training_rows(labelled, params), "labelled-findings")
+    labels = [r.label for r in bounded.select("label").distinct().collect()]
+    if len(labels) < 2:
+        return labels[0] if labels else None
     forest = RandomForestClassifier(
-        numTrees=params.trees, maxDepth=params.depth, seed=params.seed, featuresCol="vector", labelCol="label"
+        numTrees=params.trees, maxDepth=params.depth, seed=params.seed, featuresCol="vector", labelCol="label", weightCol="n"
+    )
+    return forest.fit(
+        bounded.select(array_to_vector("features").alias("vector"), F.col("label").cast("double"), F.col("n").cast("double"))
     )
-    return forest.fit(bounded.select(array_to_vector("features").alias("vector"), F.col("label").cast("double")))
 
 
-def classified(found: DataFrame, model: RandomForestClassificationModel | None, params: ScanParams) -> DataFrame:
+def classified(found: DataFrame, model: RandomForestClassificationModel | int | None, params: ScanParams) -> DataFrame:
     """``found`` with score and is_secret."""
-    if model is None:
+    if model is None or model == 1:
         return found.withColumn("score", F.lit(1.0)).withColumn("is_secret", F.lit(True))
+    if model == 0:
+        confirmed = known_format(F.col("value"), F.col("before"))
+        return found.withColumn("score", confirmed.cast("double")).withColumn("is_secret", confirmed)
     scored = model.transform(found.withColumn("vector", array_to_vector("features")))
     return (
         scored.withColumn("score", vector_to_array("probability")[1])
