@@ -1,8 +1,10 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-Method: every blank-free run of key-like characters is a candidate. A random forest on
+Method: candidates are blank-free runs of key-like characters, private key blocks, web
+tokens, and whatever a name such as token or password is set to. A random forest on
 its length, character transitions, dictionary coverage, path and neighbouring words,
-trained from labelled findings, decides which candidates are secrets.
+trained from labelled findings, decides which candidates are secrets; those of a known
+format always are.
 
 The dictionary is a top-k report: the most frequent words over all texts. The forest is
 fitted on a bounded sample of labelled findings (``sample``): distinct pairs of value and
@@ -36,7 +38,25 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import packed, text_key, whole_text, written
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
+CANDIDATE = re.compile(
+    r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?:[^-]|-(?!-))*-----END [A-Z0-9 ]*PRIVATE KEY-----"
+    r"|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*"
+    r"|[A-Za-z0-9+/_\-]{16,}={0,2}"
+)
+# A name that a secret is set to, up to the value.
+SECRET_NAME = (
+    r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key)"
+    r"[A-Za-z0-9_\-]{0,24}[\"']?[ \t]{0,4}(?::=|=>|[:=])[ \t]{0,4}"
+)
+ASSIGNED = re.compile(SECRET_NAME + r"(?:\"([^\"\n]{4,})\"|'([^'\n]{4,})'|([^\s\"',;]{6,}))")
+# Forms of issued keys, whole values.
+ISSUED = (
+    r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_\-]{20,}"
+    r"|xox[abeoprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{35}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"
+    r"|sk-[A-Za-z0-9_\-]{20,}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}"
+    r"|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*)$"
+    r"|^-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"
+)
 MASK = "[SECRET]"
 _VOWELS = frozenset("aeiouy")
 _PATH_SLOTS = 8
@@ -142,6 +162,24 @@ def features(
     return out + slots
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of the candidates in order; overlapping ones are one."""
+    hits = [hit.span() for hit in CANDIDATE.finditer(text)]
+    for hit in ASSIGNED.finditer(text):
+        start, end = hit.span(hit.lastindex)
+        if hit.lastindex == 3:
+            end = start + len(text[start:end].rstrip(".)]}>"))
+        if end > start:
+            hits.append((start, end))
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(hits):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def candidates(
     docs: DataFrame, words: list[str], id_col: str, text_col: str, path_col: str
 ) -> DataFrame:
@@ -159,10 +197,9 @@ def candidates(
         for batch in batches:
             of, found = [], []
             for i, (path, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                for hit in CANDIDATE.finditer(text):
-                    start, end = hit.span()
-                    context = text[max(0, start - 24) : start]
-                    found.append((start, end - start, hit.group(), context, features(text, start, end, path, known, longest)))
+                for start, end in spans(text):
+                    context = text[max(0, start - 64) : start]
+                    found.append((start, end - start, text[start:end], context, features(text, start, end, path, known, longest)))
                     of.append(i)
             columns = list(zip(*found)) or [()] * 5
             at = pa.array(of, pa.int64())
@@ -216,12 +253,12 @@ def classified(found: DataFrame, model: RandomForestClassificationModel | int |
     """``found`` with score and is_secret."""
     if model is None or model == 1:
         return found.withColumn("score", F.lit(1.0)).withColumn("is_secret", F.lit(True))
+    confirmed = known_format(F.col("value"), F.col("before"))
     if model == 0:
-        confirmed = known_format(F.col("value"), F.col("before"))
         return found.withColumn("score", confirmed.cast("double")).withColumn("is_secret", confirmed)
     scored = model.transform(found.withColumn("vector", array_to_vector("features")))
     return (
-        scored.withColumn("score", vector_to_array("probability")[1])
+        scored.withColumn("score", F.when(confirmed, F.lit(1.0)).otherwise(vector_to_array("probability")[1]))
         .withColumn("is_secret", F.col("score") >= params.threshold)
         .drop("vector", "rawPrediction", "probability", "prediction")
     )
@@ -230,19 +267,29 @@ def classified(found: DataFrame, model: RandomForestClassificationModel | int |
 def known_format(value: Column, before: Column) -> Column:
     """Annotation rule: the value has a form that only issued keys and set passwords have.
 
-    An access key id by its fixed prefix and length, or a hexadecimal value that a name
-    such as token or password is set to.
+    An issued key by its fixed prefix, a web token, a private key block, or a value without
+    blanks that a name such as token or password is set to: any in quotes, others with a
+    digit; references to variables and calls are none.
     """
-    issued = value.rlike(r"^AKIA[A-Z0-9]{16}$")
-    assigned = before.rlike(r"(?i)(token|secret|password|passwd|api[_-]?key)\s*[:=]\s*[\"']?$")
-    return issued | (assigned & value.rlike(r"^[0-9a-f]{16,}$"))
+    assigned = before.rlike(SECRET_NAME + r"[\"']?$") & ~value.rlike(_REFERENCE) & ~value.rlike(r"\s")
+    return value.rlike(ISSUED) | (assigned & (before.rlike(r"[\"']$") | value.rlike("[0-9]")))
+
+
+_REFERENCE = r"[(<{\[]|^\$|^%|(?i)^(?:os\.|process\.|self\.|none$|null$|true$|false$|undefined$)"
+
+
+def known_harmless(value: Column, before: Column) -> Column:
+    """Annotation rule: letters or digits only, or a hash by its name; and set to no secret name."""
+    named = before.rlike(r"(?i)(?:commit|revision|sha-?[0-9]*|md5|checksum|digest|etag|uuid|integrity)[\"']?\s*[:=]?\s*[\"']?$")
+    plain = value.rlike(r"^(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+)$") | value.rlike(r"^[A-Za-z]+(?:[/_\-]+[A-Za-z]+)*[/_\-]*$")
+    return (named | plain) & ~before.rlike(SECRET_NAME + r"[\"']?$")
 
 
 def annotated(found: DataFrame, labelled_ids: DataFrame) -> DataFrame:
-    """Findings in the reviewed documents (``id``), labelled by :func:`known_format`."""
-    return found.join(labelled_ids, "id", "left_semi").withColumn(
-        "label", known_format(F.col("value"), F.col("before")).cast("int")
-    )
+    """Findings in the reviewed documents (``id``), labelled by the two rules; unclear ones are left out."""
+    value, before = F.col("value"), F.col("before")
+    label = F.when(known_format(value, before), 1).when(known_harmless(value, before), 0)
+    return found.join(labelled_ids, "id", "left_semi").withColumn("label", label).where("label IS NOT NULL")
 
 
 def scan(
