@@ -132,7 +132,7 @@ def boosted(q: Inputs):
     seen = observed(q)
     complete = risk.complete_trips(q.trips())
     rest = risk.seen_classes(risk.unobserved(complete, seen), seen)
-    return risk.impute_boosted(rest, seen, trees=10, depth=5)
+    return risk.impute_boosted(rest, seen)
 
 
 @query(
@@ -277,7 +277,7 @@ def carrier_risk_classes(q: Inputs):
 @query("l05_carrier_imputed_by_boosted_trees", "trip_id risk_score:d type risk_class:i")
 def carrier_boosted(q: Inputs):
     def trees(rest, seen):
-        return risk.impute_boosted(rest, seen, risk.CARRIER_DESIGN, rate=0.01, trees=8, depth=4)
+        return risk.impute_boosted(rest, seen, risk.CARRIER_DESIGN, rate=0.01, trees=300)
 
     return risk.carrier_scores(q.carrier_rows(), q.carrier_loitering(), impute=trees)
 
