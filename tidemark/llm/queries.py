@@ -12,6 +12,7 @@ from tidemark.llm import (
     bpe_codec,
     exact_dedup,
     line_dedup,
+    lm_scoring,
     near_dedup,
     packing,
     quality_rules,
@@ -108,6 +109,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -121,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_bpe_codec,
         op10_exact_dedup,
+        op11_lm_scoring,
     )
 }
 
