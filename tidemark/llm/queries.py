@@ -19,6 +19,7 @@ from tidemark.llm import (
     secret_scan,
     sharding,
     token_counts,
+    turn_repair,
     warc,
 )
 from tidemark.llm.check_sql import EXACT_DEDUP, NEAR_DEDUP, QUALITY_RULES, WARC
@@ -113,6 +114,10 @@ def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.scores(table(spark, sf_dir, "documents"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.audits_after_damage(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -127,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_bpe_codec,
         op10_exact_dedup,
         op11_lm_scoring,
+        op12_turn_repair,
     )
 }
 
