@@ -21,6 +21,7 @@ from tidemark.llm import (
     token_counts,
     turn_repair,
     warc,
+    whitening,
 )
 from tidemark.llm.check_sql import EXACT_DEDUP, NEAR_DEDUP, QUALITY_RULES, WARC
 from tidemark.llm.common import table
@@ -118,6 +119,10 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.audits_after_damage(table(spark, sf_dir, "conversations"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -133,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_exact_dedup,
         op11_lm_scoring,
         op12_turn_repair,
+        op13_whitening,
     )
 }
 
