@@ -30,6 +30,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,6 +140,25 @@ def _chunk_words(norms: list[bytes], held_out: list[bool], buckets: int) -> dict
     return out
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Integers as differences, by byte planes, compressed."""
+    planes = np.diff(numbers, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def _spread(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel().cumsum()
+
+
+def _joined(words: list[bytes]) -> bytes:
+    return zstandard.compress(b" ".join(words), 1)
+
+
+def _split(data: bytes) -> list[bytes]:
+    return zstandard.decompress(data).split()
+
+
 def _row(bucket: int, chunk: int | None, part: int, entries: bytes, counts: bytes, known: int = 0):
     return pa.record_batch(
         [
@@ -156,11 +176,11 @@ def dictionaries(chunks: DataFrame, depth: int, buckets: int) -> DataFrame:
         for chunk, norms, held in _whole_chunks(batches):
             grams, n = _chunk_grams(norms, held, depth)
             for bucket, at in _by_bucket(grams, depth, buckets):
-                yield _row(bucket, chunk, 0, grams[at].tobytes(), n[at].tobytes())
+                yield _row(bucket, chunk, 0, _squeezed(grams[at]), _squeezed(n[at]))
             for bucket, words in _chunk_words(norms, held, buckets).items():
                 names = sorted(words)
                 counts = np.array([words[w] for w in names], np.int64)
-                yield _row(bucket, chunk, 0, b" ".join(names), counts.tobytes())
+                yield _row(bucket, chunk, 0, _joined(names), _squeezed(counts))
 
     return chunks.select("chunk", "held_out", "norm").mapInArrow(count, _PACKED)
 
@@ -190,7 +210,7 @@ class _GramSums:
         self.waiting = 0
 
     def add(self, entries: bytes, counts: bytes) -> None:
-        self.fresh.append((np.frombuffer(entries, np.int64), np.frombuffer(counts, np.int64)))
+        self.fresh.append((_spread(entries), _spread(counts)))
         self.waiting += len(self.fresh[-1][0])
         if self.waiting > max(len(self.grams), 1 << 18):
             self.merge()
@@ -223,7 +243,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _GramSums, C
         if bucket >= 0:
             grams.add(entries, counts)
         else:
-            words.update(dict(zip(entries.split(), np.frombuffer(counts, np.int64).tolist())))
+            words.update(dict(zip(_split(entries), _spread(counts).tolist())))
     if now is not None:
         grams.merge()
         yield now, grams, words
@@ -237,13 +257,13 @@ def bucket_counts(dictionary: DataFrame) -> DataFrame:
             if bucket >= 0:
                 for part, first in enumerate(range(0, len(grams.grams), 1 << 20)):
                     cut = slice(first, first + (1 << 20))
-                    yield _row(bucket, None, part, grams.grams[cut].tobytes(), grams.counts[cut].tobytes())
+                    yield _row(bucket, None, part, _squeezed(grams.grams[cut]), _squeezed(grams.counts[cut]))
             else:
                 names, n = list(words), np.fromiter(words.values(), np.int64, len(words))
                 for part, first in enumerate(range(0, len(names), 1 << 19)):
                     cut = slice(first, first + (1 << 19))
                     known = int((n[cut] > 0).sum())
-                    yield _row(bucket, None, part, b" ".join(names[cut]), n[cut].tobytes(), known)
+                    yield _row(bucket, None, part, _joined(names[cut]), _squeezed(n[cut]), known)
 
     return _dealt(dictionary).mapInArrow(add_up, _PACKED)
 
@@ -284,12 +304,12 @@ def answers(dictionary: DataFrame, totals: DataFrame, shallow: list[ct.Level], d
                     if bucket >= 0:
                         sums.add(entries, counts)
                     else:
-                        words.update(zip(entries.split(), np.frombuffer(counts, np.int64).tolist()))
+                        words.update(zip(_split(entries), _spread(counts).tolist()))
                 continue
             # A chunk may have been read in pieces: their entries together, in order.
             pieces = [entries for _, _, entries, _ in rows]
             if bucket < 0:
-                names = sorted(set().union(*(p.split() for p in pieces)))
+                names = sorted(set().union(*(_split(p) for p in pieces)))
                 found = np.array([words[w] for w in names], np.float64)
             else:
                 if values is None:
@@ -300,7 +320,7 @@ def answers(dictionary: DataFrame, totals: DataFrame, shallow: list[ct.Level], d
                         cut = slice(first, first + (1 << 18))
                         values[cut] = ct.log2_probabilities(sums.grams[cut], tree)
                     del tree
-                grams = np.unique(np.concatenate([np.frombuffer(p, np.int64) for p in pieces]))
+                grams = np.unique(np.concatenate([_spread(p) for p in pieces]))
                 found = values[np.searchsorted(sums.grams, grams)]
             yield pa.record_batch(
                 [pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([found.tobytes()], pa.binary())],

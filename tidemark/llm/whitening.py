@@ -7,7 +7,7 @@ by Spark. A Chebyshev polynomial recurrence over such passes damps the unwanted
 the spectrum in Q; then QR and Rayleigh-Ritz. The unwanted interval is bounded above by the
 least Ritz value of the block and begins at 0, as a covariance has no lower eigenvalues.
 It is certified when for every wanted component the residual ``|VQ - eQ|`` is at rounding
-level of the greatest eigenvalue, and the last pass measures the covariance of the whitened
+level, and the last pass measures the covariance of the whitened
 rows against the identity.
 
 Size: vectors are stored once, packed as integers in blocks; a task streams its blocks. The
@@ -41,6 +41,8 @@ DEGREE = 10
 SCALE, SHIFT = 1024, 100_000
 TOLERANCE = 2e-14
 _ROUNDS = 60
+# Part of all variance below which an eigenvalue is rounding.
+_NO_SPREAD = 1e-13
 _LIMIT = 1 << 40
 _BLOCK_ROWS_BYTES = 1 << 20
 _PARTITION_BYTES = 16 << 20
@@ -166,8 +168,11 @@ class Components:
 def leading(vectors: Vectors, components: int = COMPONENTS, block: int = BLOCK, degree: int = DEGREE) -> Components:
     """The leading eigenpairs of the covariance.
 
-    Where the block covers every dimension the first Rayleigh-Ritz step is the answer.
-    Rounds end when the residual is certified, or when it no longer falls at rounding level.
+    The residual of a component is taken against ``sqrt(top * own eigenvalue)``, the level at
+    which a pass rounds. Components at rounding level are locked: the filter runs on the rest,
+    orthogonal to them, so a dominant one drowns nothing. Where the block covers every
+    dimension the first Rayleigh-Ritz step is the answer. Rounds end when every wanted
+    component is certified, or no longer improves and is certified to 1e-10.
     """
     d = vectors.d
     block = min(d, max(block, 2 * components))
@@ -175,34 +180,46 @@ def leading(vectors: Vectors, components: int = COMPONENTS, block: int = BLOCK,
     q, _ = np.linalg.qr(np.random.default_rng(0).standard_normal((d, block)))
     passes, trace, best = 0, vectors.trace(), None
     for _ in range(_ROUNDS):
-        # QR and Rayleigh-Ritz.
+        # Rayleigh-Ritz.
         vq = vectors.times(q)
         passes += 1
         small = q.T @ vq
         values, turn = np.linalg.eigh((small + small.T) / 2)
         values, turn = values[::-1], turn[:, ::-1]
         q, vq = q @ turn, vq @ turn
-        top = max(values[0], 0.0)
-        residual = float(np.abs(np.linalg.norm(vq - q * values, axis=0)[:wanted]).max()) / top if top else 0.0
-        found = Components(values[:wanted], q[:, :wanted], trace, residual, passes)
-        stalled = best is not None and best.residual < 1e-11 and residual > best.residual / 2
-        if best is None or residual < best.residual:
+        real = values > trace * _NO_SPREAD
+        level = np.sqrt(values[0] * np.where(real, values, 1.0)) if real.any() else 1.0
+        residuals = np.where(real, np.linalg.norm(vq - q * values, axis=0) / level, 0.0)
+        found = Components(values[:wanted], q[:, :wanted], trace, float(residuals[:wanted].max()), passes)
+        stalled = best is not None and best.residual < 1e-10 and found.residual > best.residual / 2
+        if best is None or found.residual < best.residual:
             best = found
-        if residual <= TOLERANCE or block == d or stalled:
+        if found.residual <= TOLERANCE or block == d or stalled:
             break
-        # Chebyshev filter of the unwanted interval [0, cut], scaled by the wanted end.
-        cut = max(values[-1], top * 1e-12)
+        locked = int(np.argmax(residuals > TOLERANCE))
+        kept, q, vq, values = q[:, :locked], q[:, locked:], vq[:, locked:], values[locked:]
+
+        def free(x: np.ndarray) -> np.ndarray:
+            return x - kept @ (kept.T @ x)
+
+        # Chebyshev filter of the unwanted interval [0, cut], scaled by the wanted end. The
+        # degree falls where the wanted end would grow 1e8 times over the last wanted value.
+        cut = max(values[-1], values[0] * 1e-12)
         half = cut / 2
-        sigma = first = half / (top - half) if top > half else 1.0
-        before, now = q, (vq - half * q) * (sigma / half)
-        for _ in range(degree - 1):
+        last = values[max(0, wanted - 1 - locked)]
+        growth = np.arccosh(max(1.0, values[0] / half - 1)) - np.arccosh(max(1.0, last / half - 1))
+        steps = degree if growth * degree < 18 else max(1, int(18 / growth))
+        sigma = first = half / max(values[0] - half, half)
+        before, now = q, free(vq - half * q) * (sigma / half)
+        for _ in range(steps - 1):
             after = 1 / (2 / first - sigma)
             passes += 1
-            before, now = now, (vectors.times(now) - half * now) * (2 * after / half) - sigma * after * before
+            turned = free(vectors.times(now)) - half * now
+            before, now = now, turned * (2 * after / half) - sigma * after * before
             sigma = after
-        q, _ = np.linalg.qr(now)
+        q, _ = np.linalg.qr(np.column_stack([kept, now]))
     if best.residual > 1e-9:
-        raise ArithmeticError(f"not certified: residual {best.residual:.1e} after {best.passes} passes")
+        raise ArithmeticError(f"not certified: residual {best.residual:.1e} after {passes} passes")
     best.passes = passes
     return best
 
@@ -241,8 +258,7 @@ def whitened(
     if fit is None:
         return table.sparkSession.createDataFrame([], schema)
     found = leading(fit, components, block, degree)
-    # Variance below this is rounding, not spread.
-    kept = found.values > max(found.trace, 0.0) * 1e-13
+    kept = found.values > found.trace * _NO_SPREAD
     values, basis = found.values[kept], found.vectors[:, kept]
     k, n, sums, d = len(values), fit.n, fit.sums, fit.d
     if not k:
