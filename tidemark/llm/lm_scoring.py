@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -39,9 +39,9 @@ from tidemark.llm import context_tree as ct
 from tidemark.llm.common import whole_text, written
 
 DEPTH = 6
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
 # Text per step of numpy work, and text per bucket.
-_STEP = 1 << 20
+_STEP = 4 << 20
 _BUCKET_BYTES = 8 << 20
 _CHUNKED = "chunk long, held_out boolean, n_tokens long, norm binary"
 _PACKED = "bucket int, chunk long, part int, entries binary, counts binary, known long"
@@ -126,7 +126,7 @@ def _chunk_grams(norms: list[bytes], held_out: list[bool], depth: int) -> tuple[
     return ct.summed(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
 
 
-def _chunk_words(norms: list[bytes], held_out: list[bool], buckets: int) -> dict[int, Counter]:
+def _chunk_words(norms: list[bytes], held_out: list[bool], buckets: int) -> dict[int, dict[bytes, int]]:
     """Counts in training texts of the distinct words, by bucket."""
     counts: Counter = Counter()
     for norm, held in zip(norms, held_out):
@@ -134,9 +134,9 @@ def _chunk_words(norms: list[bytes], held_out: list[bool], buckets: int) -> dict
             counts.update(dict.fromkeys(norm.split(), 0))
         else:
             counts.update(norm.split())
-    out: dict[int, Counter] = {}
+    out: dict[int, dict[bytes, int]] = defaultdict(dict)
     for word, n in counts.items():
-        out.setdefault(-1 - zlib.crc32(word) % buckets, Counter())[word] = n
+        out[-1 - zlib.crc32(word) % buckets][word] = n
     return out
 
 
@@ -370,17 +370,25 @@ def scores(
         known = np.empty(len(grams))
         for bucket, at in _by_bucket(grams, depth, buckets):
             known[at] = np.frombuffer(values[bucket])
-        counts: dict[bytes, float] = {}
+        log_of, seen = {}, {}
         for bucket, words in _chunk_words(norms, held, buckets).items():
-            counts.update(zip(sorted(words), np.frombuffer(values[bucket]).tolist()))
-        log_of = {w: math.log10((c + 0.5) / scale) for w, c in counts.items()}
+            names, counts = sorted(words), np.frombuffer(values[bucket])
+            log_of.update(zip(names, np.log10((counts + 0.5) / scale).tolist()))
+            seen.update(zip(names, (counts > 0).tolist()))
         end = math.log10((train_texts + 0.5) / scale)
-        base = [math.fsum(map(log_of.__getitem__, n.split())) + end for n in norms]
-        n_known = [sum(counts[w] > 0 for w in n.split()) + (train_texts > 0) for n in norms]
+        base, n_known = [], []
+        for norm in norms:
+            words = norm.split()
+            base.append(math.fsum(map(log_of.__getitem__, words)) + end)
+            n_known.append(sum(map(seen.__getitem__, words)) + (train_texts > 0))
         bits = np.empty(len(norms))
         for first, last in _steps(norms):
             found, starts = ct.text_grams(norms[first:last], depth)
-            bits[first:last] = np.add.reduceat(known[np.searchsorted(grams, found)], starts)
+            # In order, neighbouring grams are found close together.
+            order = np.argsort(found)
+            value = np.empty(len(found))
+            value[order] = known[np.searchsorted(grams, found[order])]
+            bits[first:last] = np.add.reduceat(value, starts)
         n_bytes = np.array([len(n) for n in norms], np.int64)
         return pa.table(
             [
