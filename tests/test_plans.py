@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import classes
 from tidemark.functions.clock import hex_millis
 from tidemark.functions.geo import cell_area_km2, degree_bin, midpoint
-from tidemark.plans import attribution, duration, effort, ports, report, risk, vessels, voyages
+from tidemark.plans import attribution, effort, ports, report, risk, vessels, voyages
 from tidemark.sources import schemas, tables
 
 T = datetime(2015, 1, 1)
@@ -240,15 +240,6 @@ def test_boosted_trees_beat_the_mean(spark):
     assert sum(errors) < 0.3 * sum((r[3] - mean) ** 2 for r in rows)
 
 
-def test_level_estimates_recover_effects(spark):
-    effects, ports_ = {"a": 1.0, "b": 2.0}, {f"p{i}": (i - 2) / 4 for i in range(5)}
-    cells = [(g, p, 50, 50 * (e + u), 0.0) for g, e in effects.items() for p, u in ports_.items()]
-    df = spark.createDataFrame(cells, "g string, p string, n bigint, sum_y double, sum_y2 double")
-    got = {r.category: r.estimate for r in duration.shrunken_levels(df, "g", ["p"], rounds=8).collect()}
-    assert got["b"] - got["a"] == pytest.approx(1.0, abs=1e-6)
-    assert got["p4"] - got["p0"] == pytest.approx(1.0, abs=0.05)
-
-
 def test_labels(spark):
     df = spark.createDataFrame([("('flag', 'gear')",), ("('tas', 'tas')",), ("with_gear x loitering",)], "t string")
     assert [r[0] for r in df.select(report.term_label(F.col("t"))).collect()] == [

@@ -351,7 +351,8 @@ class Inputs:
                 "concat(l_returnflag, l_linestatus) AS flag_group",
                 "cast(s_nationkey AS string) AS port_iso3",
                 "p_type AS vessel_class",
-                "cast(30 + floor(l_extendedprice) % 3000 AS bigint) AS duration_min",
+                # Port states and classes differ, so that there are levels to find.
+                "(30 + floor(l_extendedprice) % 3000) * (8 + s_nationkey % 9 + length(p_type) % 4) DIV 8 AS duration_min",
             )
         )
 

@@ -492,7 +492,7 @@ cte("density", """
 cte("duration_rows", """
     SELECT l_returnflag || l_linestatus AS flag_group, s_nationkey::VARCHAR AS port_iso3, p_type AS vessel_class, duration_min,
       ln(duration_min / 60.0::DOUBLE) AS log_hours
-    FROM (SELECT *, (30 + floor(l_extendedprice)::BIGINT % 3000)::BIGINT AS duration_min FROM lineitem
+    FROM (SELECT *, (30 + floor(l_extendedprice)::BIGINT % 3000) * (8 + s_nationkey % 9 + length(p_type) % 4) // 8 AS duration_min FROM lineitem
           JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)
     WHERE duration_min >= 60""")
 cte("duration_cells", """
