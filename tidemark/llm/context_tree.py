@@ -128,8 +128,8 @@ def text_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     joined = np.frombuffer(b"".join(end * depth + t + end for t in texts), np.uint8).astype(np.int64)
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
     starts = np.cumsum(lengths) - lengths
-    at = np.arange(int(lengths.sum())) + np.repeat(np.arange(1, len(texts) + 1) * depth, lengths)
-    grams = joined[at]
+    at = np.arange(int(lengths.sum())) + np.repeat(np.arange(len(texts)) * depth, lengths)
+    whole = joined[depth:].copy()
     for back in range(1, depth + 1):
-        grams |= joined[at - back] << (8 * (depth + 1 - back))
-    return grams, starts
+        whole |= joined[depth - back:len(joined) - back] << (8 * (depth + 1 - back))
+    return whole[at], starts

@@ -201,6 +201,36 @@ def _whole_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list
         yield chunk, norms, held
 
 
+class _Places:
+    """Where a gram stands in an array of distinct ones, by open addressing; it must be there."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams = grams
+        self.bits = max(4, (4 * len(grams)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        at, waiting = self._slot(grams), np.arange(len(grams), dtype=np.int32)
+        while len(waiting):
+            own = at[waiting]
+            free = self.slots[own] < 0
+            self.slots[own[free]] = waiting[free]
+            waiting = waiting[self.slots[own] != waiting]
+            at[waiting] = (at[waiting] + 1) % len(self.slots)
+
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        mixed = grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        at = self._slot(grams)
+        found = self.slots[at]
+        wrong = np.flatnonzero(self.grams[found] != grams)
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) % len(self.slots)
+            found[wrong] = self.slots[at[wrong]]
+            wrong = wrong[self.grams[found[wrong]] != grams[wrong]]
+        return found
+
+
 class _GramSums:
     """Counts by gram; what was added is merged whenever it outgrows what is merged."""
 
@@ -381,14 +411,10 @@ def scores(
             words = norm.split()
             base.append(math.fsum(map(log_of.__getitem__, words)) + end)
             n_known.append(sum(map(seen.__getitem__, words)) + (train_texts > 0))
-        bits = np.empty(len(norms))
+        places, bits = _Places(grams), np.empty(len(norms))
         for first, last in _steps(norms):
-            found, starts = ct.text_grams(norms[first:last], depth)
-            # In order, neighbouring grams are found close together.
-            order = np.argsort(found)
-            value = np.empty(len(found))
-            value[order] = known[np.searchsorted(grams, found[order])]
-            bits[first:last] = np.add.reduceat(value, starts)
+            positions, starts = ct.text_grams(norms[first:last], depth)
+            bits[first:last] = np.add.reduceat(known[places.of(positions)], starts)
         n_bytes = np.array([len(n) for n in norms], np.int64)
         return pa.table(
             [
