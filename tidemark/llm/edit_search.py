@@ -69,7 +69,14 @@ def search(
     last = next((c.lower() for c in reversed(symbols) if c != "-"), "")
     closing = {_SAID[e] for e in ends}
 
+    early = max(ends) <= SYSTEM
+
     def estimate(at: int, state: int) -> int:
+        if early:
+            # All that remains is deleted, but for the s that leads from START to SYSTEM.
+            if state > max(ends):
+                return 4 * n + 4
+            return 3 * (n - at) - (3 if state not in ends else 0)
         if not first[at]:
             return cost[at] + (0 if state in ends else 2)
         pairs = clashes[at] + (_SAID[state] + first[at] not in _LEGAL) + (last not in closing)
