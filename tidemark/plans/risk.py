@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import classes
-from tidemark.session import cut_lineage
+from tidemark.plans import boosting
 
 FACTORS = ("flag_group", "vessel_class", "time_at_sea")
 CATEGORIES: dict[str, Sequence[str]] = {
@@ -105,7 +105,7 @@ def carrier_design(encounters: DataFrame, loitering: DataFrame) -> DataFrame:
 
 
 def carrier_factors(design: DataFrame) -> DataFrame:
-    """Carrier trips with five categorical factors.
+    """Carrier trips with five categorical factors, and the 0/1 columns behind them.
 
     The classes met are joined into one signature per kind, e.g. ``china+group1``.
     """
@@ -123,10 +123,19 @@ def carrier_factors(design: DataFrame) -> DataFrame:
         signature(classes.FLAG_GROUP_NAMES).alias("with_flag"),
         signature(classes.GEAR_CLASS_NAMES).alias("with_gear"),
         F.when(F.col("loitering") == 1, "loitering").otherwise("no_loitering").alias("loitering"),
+        F.col("loitering").alias("any_loitering"),
+        *[c for c in CARRIER_COLUMNS if c != "any_loitering"],
         *[c for r in ("iuu", "la") for c in vote_columns(r, True)],
     )
 
 
+# 0/1 columns of a carrier trip: own time at sea and flag, classes met, loitering.
+CARRIER_COLUMNS = (
+    *(f"time_at_sea_{v}" for v in classes.TIME_AT_SEA_NAMES),
+    *(f"carrier_flag_group_{v}" for v in classes.FLAG_GROUP_NAMES),
+    *(f"with_{v}" for v in (*classes.FLAG_GROUP_NAMES, *classes.GEAR_CLASS_NAMES)),
+    "any_loitering", "no_loitering",
+)
 CARRIER_DESIGN = ("is_tas", "is_flag", "with_flag", "with_gear", "loitering")
 
 
@@ -191,53 +200,60 @@ def impute_boosted(
     factors: Sequence[str] = FACTORS,
     score: str = "risk_score",
     *,
+    columns: Sequence[str] = (),
     rate: float = 0.05,
     trees: int = 100,
     depth: int = 10,
     column_share: float = 0.6,
+    penalty: float = 1.0,
     seed: int = 0,
 ) -> DataFrame:
-    """Score trips by boosted regression trees on one-hot categories.
+    """Score trips by boosted regression trees.
 
-    Under squared loss a tree depends on the data only through the weight and mean
-    score of each combination of categories. The learner is given those
-    combinations, weighted, so its input is bounded however many trips there are;
-    predictions are joined back by combination. Columns are drawn per node. Carrier
-    trips are scored with ``factors=CARRIER_DESIGN, rate=0.01, trees=300``.
+    The trees split on one 0/1 column per observed category of ``factors`` and on the 0/1
+    ``columns``; a trip with a category or a combination never observed is scored by the
+    rest of its columns. Each tree draws its share of the columns. Carrier trips are scored
+    with ``factors=(), columns=CARRIER_COLUMNS, rate=0.01, trees=300``.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    factors = list(factors)
-    # The learner reads its input many times; the few combinations are stored once.
-    cells = cut_lineage(
-        observed.groupBy(*factors)
-        .agg(F.avg(score).alias("_label"), F.count(score).cast("double").alias("_weight"))
-        .where(F.col("_weight") > 0)
-    )
-    wanted = trips.select(*factors).distinct()
-    model = Pipeline(
-        stages=[
-            StringIndexer(
-                inputCols=factors, outputCols=[f"_i_{f}" for f in factors],
-                handleInvalid="keep", stringOrderType="alphabetAsc",
-            ),
-            OneHotEncoder(
-                inputCols=[f"_i_{f}" for f in factors], outputCols=[f"_o_{f}" for f in factors],
-                dropLast=False, handleInvalid="keep",
-            ),
-            VectorAssembler(inputCols=[f"_o_{f}" for f in factors], outputCol="_features"),
-            GBTRegressor(
-                featuresCol="_features", labelCol="_label", weightCol="_weight",
-                predictionCol="_prediction", stepSize=rate, maxIter=trees, maxDepth=depth,
-                minInstancesPerNode=1, subsamplingRate=1.0,
-                featureSubsetStrategy=str(column_share), seed=seed, cacheNodeIds=False,
-            ),
-        ]
-    ).fit(cells)
-    predicted = model.transform(wanted).select(*factors, F.col("_prediction").alias(score))
-    return trips.drop(score).join(predicted, factors, "left")
+    flags = [F.col(c) == 1 for c in columns]
+    for f in factors:
+        # Bounded by the categories of the factor.
+        seen = observed.where(F.col(f).isNotNull()).select(f).distinct().orderBy(f).limit(boosting.MAX_COLUMNS + 1)
+        flags += [F.col(f) == r[0] for r in seen.collect()]
+    params = boosting.BoostParams(rate, trees, depth, column_share, penalty, seed=seed)
+    forest = boosting.fit(observed, flags, score, params)
+    return trips.withColumn(score, boosting.predicted(forest, flags))
+
+
+def imputation_tables(
+    trips: DataFrame, risk: str = "iuu", impute=impute_boosted, key: Sequence[str] = ("trip_id", "ssvid", "trip_start", "trip_end")
+) -> dict[str, DataFrame]:
+    """Observed, in-sample and predicted-only tables of the imputed risk, with classes.
+
+    ``observed`` holds what was seen, ``in_sample`` what the model says of the same trips,
+    ``predicted`` the trips without votes, ``error`` one row: trips, root mean squared error
+    and share of trips put in their own class, all in-sample.
+    """
+    complete = complete_trips(trips)
+    observed = observed_trips(complete, risk)
+    rest = seen_classes(complete.where(~has_votes(risk)), observed)
+    shown = [*key, "risk_score"]
+    scored = observed.where(F.col("risk_score").isNotNull())
+    known = scored.withColumn("_truth", F.col("risk_score"))
+    again = with_class(impute(known, scored))
+    return {
+        "observed": with_class(observed.select(*shown)),
+        "in_sample": again.select(*shown, "risk_class"),
+        "predicted": with_class(impute(rest, scored).select(*shown)),
+        "error": imputation_error(again.select(F.col("_truth").alias("truth"), F.col("risk_score").alias("guess"))),
+    }
+
+
+def imputation_error(pairs: DataFrame) -> DataFrame:
+    """n, rmse and class_share of pairs (truth, guess)."""
+    off = F.col("truth") - F.col("guess")
+    same = (classes.risk_class(F.col("truth")) == classes.risk_class(F.col("guess"))).cast("double")
+    return pairs.agg(F.count(off).alias("n"), F.sqrt(F.avg(off * off)).alias("rmse"), F.avg(same).alias("class_share"))
 
 
 def scored_trips(

@@ -144,7 +144,119 @@ def boosted(q: Inputs):
 def saturated_tree(q: Inputs):
     """One full tree of weight 1 over all columns is the cell mean, here on the observed trips."""
     seen = observed(q).where("risk_score IS NOT NULL")
-    return risk.impute_boosted(seen, seen, rate=1.0, trees=1, depth=20, column_share=1.0)
+    return risk.impute_boosted(seen, seen, rate=1.0, trees=1, depth=20, column_share=1.0, penalty=0.0)
+
+
+# Few small trees over all columns, which SQL can grow as well.
+SMALL = {"rate": 0.3, "trees": 3, "depth": 2, "column_share": 1.0}
+
+
+def _trees_sql(rows: str, columns: dict[str, str]) -> str:
+    """WITH parts of ``trees(trip_id, y, seen, guess)``: SMALL trees grown on the ``rows`` with y.
+
+    ``columns`` maps names to 0/1 expressions over ``rows`` (trip_id, y, seen, ...).
+    """
+    names = list(columns)
+    bits = ", ".join(f"({e})::INT AS b{i}" for i, e in enumerate(columns.values()))
+    parts = [
+        f"s0 AS MATERIALIZED (SELECT trip_id, y, seen, {bits}, (SELECT avg(y) FROM {rows}) AS guess FROM {rows})"
+    ]
+    last = "s0"
+    for t in range(SMALL["trees"]):
+        parts.append(f"n{t}_0 AS MATERIALIZED (SELECT *, 1 AS node FROM {last})")
+        for level in range(SMALL["depth"]):
+            at = f"n{t}_{level}"
+            sums = " UNION ALL ".join(
+                f"SELECT node, {i} AS f, sum(y - guess) AS g, count(y) AS h, coalesce(sum(y - guess) FILTER (b{i} = 1), 0) AS g1,"
+                f" count(y) FILTER (b{i} = 1) AS h1 FROM {at} GROUP BY node"
+                for i in range(len(names))
+            )
+            gain = "g1 * g1 / (h1 + 1) + (g - g1) * (g - g1) / (h - h1 + 1) - g * g / (h + 1)"
+            parts.append(
+                f"x{t}_{level} AS MATERIALIZED (SELECT node, f FROM (SELECT node, f, row_number() OVER (PARTITION BY node ORDER BY round(gain, 7) DESC, f) AS r"
+                f" FROM (SELECT *, {gain} AS gain FROM ({sums})) WHERE h1 >= 1 AND h - h1 >= 1 AND gain > 1e-9) WHERE r = 1)"
+            )
+            bit = "CASE f " + " ".join(f"WHEN {i} THEN b{i}" for i in range(len(names))) + " ELSE 0 END"
+            parts.append(
+                f"n{t}_{level + 1} AS MATERIALIZED (SELECT {at}.* EXCLUDE (node), node * 2 + {bit} AS node FROM {at} LEFT JOIN x{t}_{level} USING (node))"
+            )
+        at = f"n{t}_{SMALL['depth']}"
+        parts.append(
+            f"s{t + 1} AS MATERIALIZED (SELECT * EXCLUDE (node) REPLACE (guess + {SMALL['rate']}::DOUBLE * sum(y - guess) OVER (PARTITION BY node)"
+            f" / (count(y) OVER (PARTITION BY node) + 1) AS guess) FROM {at})"
+        )
+        last = f"s{t + 1}"
+    parts.append(f"trees AS MATERIALIZED (SELECT trip_id, y, seen, guess FROM {last})")
+    return ", ".join(parts)
+
+
+_FISHING_COLUMNS = {f"{c}={v}": f"{c} = '{v}'" for c, values in risk.CATEGORIES.items() for v in values}
+# Observed trips with their score, then those without votes whose class was observed.
+_FISHING_ROWS = """fishing AS MATERIALIZED (
+  SELECT trip_id, flag_group, vessel_class, time_at_sea, risk_score AS y, TRUE AS seen FROM observed_trips UNION ALL
+  SELECT trip_id, flag_group, vessel_class, time_at_sea, NULL, FALSE FROM complete_trips
+  WHERE trip_id IN (SELECT trip_id FROM predicted_trips))"""
+_FISHING_TREES = f"{_FISHING_ROWS}, {_trees_sql('fishing', _FISHING_COLUMNS)}"
+_FISHING_PARTS = ("observed_trips", "predicted_trips", "complete_trips")
+
+
+def _small(trips, seen, **more):
+    return risk.impute_boosted(trips, seen, **SMALL, **more)
+
+
+@query(
+    "l05_imputed_by_small_trees", "trip_id risk_score:d",
+    f"(WITH {_FISHING_TREES} SELECT trip_id, guess AS risk_score FROM trees WHERE NOT seen)", *_FISHING_PARTS,
+)
+def small_trees(q: Inputs):
+    return risk.risk_table(q.trips(), impute=_small).where("type = 'pred'")
+
+
+_GUESS = "CASE WHEN round({0}, 9) < 0 THEN 0 WHEN round({0}, 9) < 2 THEN 1 ELSE 2 END"
+
+
+@query(
+    "l06_imputation_tables", "part trip_id risk_score:d risk_class:i",
+    f"""(WITH {_FISHING_TREES} SELECT part, trip_id, risk_score, {_GUESS.format('risk_score')} AS risk_class FROM (
+          SELECT 'observed' AS part, trip_id, y AS risk_score FROM trees WHERE seen
+          UNION ALL SELECT 'in_sample', trip_id, guess FROM trees WHERE y IS NOT NULL
+          UNION ALL SELECT 'predicted', trip_id, guess FROM trees WHERE NOT seen))""",
+    *_FISHING_PARTS,
+)
+def imputation_tables(q: Inputs):
+    parts = risk.imputation_tables(q.trips(), impute=_small)
+    shown = [parts[p].withColumn("part", F.lit(p)) for p in ("observed", "in_sample", "predicted")]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
+
+
+@query(
+    "l06_imputation_error", "n:i rmse:d class_share:d",
+    f"""(WITH {_FISHING_TREES} SELECT count(*) AS n, sqrt(avg((y - guess) * (y - guess))) AS rmse,
+          avg(({_GUESS.format('y')} = {_GUESS.format('guess')})::INT) AS class_share FROM trees WHERE y IS NOT NULL)""",
+    *_FISHING_PARTS,
+)
+def imputation_error(q: Inputs):
+    return risk.imputation_tables(q.trips(), impute=_small)["error"]
+
+
+@query(
+    "l06_model_error", "n_observed:i n_predicted:i below_means:i",
+    """(SELECT count(*) FILTER (risk_score IS NOT NULL) AS n_observed, (SELECT count(*) FROM predicted_trips) AS n_predicted, 1 AS below_means
+        FROM observed_trips)""",
+    "observed_trips", "predicted_trips",
+)
+def model_error(q: Inputs):
+    """The model as it is used: its in-sample error is below that of the means of two factors."""
+    parts = risk.imputation_tables(q.trips())
+    seen = observed(q).where("risk_score IS NOT NULL")
+    means = risk.impute_cell_mean(seen.withColumnRenamed("risk_score", "truth"), seen, risk.FACTORS[:2])
+    other = risk.imputation_error(means.select("truth", F.col("risk_score").alias("guess")))
+    predicted = parts["predicted"].agg(F.count("risk_score").alias("n_predicted"))
+    return (
+        parts["error"].select(F.col("n").alias("n_observed"), "rmse")
+        .crossJoin(other.select(F.col("rmse").alias("other"))).crossJoin(predicted)
+        .withColumn("below_means", (F.col("rmse") < F.col("other")).cast("int"))
+    )
 
 
 _CLASS = "CASE WHEN round(risk_score, 9) < 0 THEN 0 WHEN round(risk_score, 9) < 2 THEN 1 ELSE 2 END AS risk_class"
@@ -277,7 +389,32 @@ def carrier_risk_classes(q: Inputs):
 @query("l05_carrier_imputed_by_boosted_trees", "trip_id risk_score:d type risk_class:i")
 def carrier_boosted(q: Inputs):
     def trees(rest, seen):
-        return risk.impute_boosted(rest, seen, risk.CARRIER_DESIGN, rate=0.01, trees=300)
+        return risk.impute_boosted(rest, seen, (), columns=risk.CARRIER_COLUMNS, rate=0.01, trees=300)
+
+    return risk.carrier_scores(q.carrier_rows(), q.carrier_loitering(), impute=trees)
+
+
+def _carrier_trees_sql() -> str:
+    columns = {
+        **{f"is_tas={v}": f"is_tas = '{v}'" for v in classes.TIME_AT_SEA_NAMES},
+        **{f"is_flag={v}": f"is_flag = '{v}'" for v in classes.FLAG_GROUP_NAMES},
+        **{f"with_flag={v}": f"list_contains(str_split(with_flag, '+'), '{v}')" for v in classes.FLAG_GROUP_NAMES},
+        **{f"with_gear={v}": f"list_contains(str_split(with_gear, '+'), '{v}')" for v in classes.GEAR_CLASS_NAMES},
+        "loitering": "loitering = 'loitering'", "no_loitering": "loitering <> 'loitering'",
+    }
+    rows = f"carriers AS MATERIALIZED (SELECT *, CASE WHEN votes > 0 THEN score END AS y, coalesce(votes > 0, FALSE) AS seen FROM ({_CARRIER_CELLS}))"
+    return f"{rows}, {_trees_sql('carriers', columns)}"
+
+
+@query(
+    "l05_carrier_imputed_by_small_trees", "trip_id risk_score:d type risk_class:i",
+    f"""(WITH {_carrier_trees_sql()} SELECT *, {_CLASS} FROM (SELECT trip_id, coalesce(y, guess) AS risk_score,
+          CASE WHEN y IS NULL THEN 'pred' ELSE 'obs' END AS type FROM trees))""",
+    "carrier_rows", "carrier_loitering",
+)
+def carrier_small(q: Inputs):
+    def trees(rest, seen):
+        return _small(rest, seen, factors=(), columns=risk.CARRIER_COLUMNS)
 
     return risk.carrier_scores(q.carrier_rows(), q.carrier_loitering(), impute=trees)
 
