@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.geo import cell_area_km2, degree_bin
 from tidemark.operators.intervals import contained_in
+from tidemark.operators.ranking import exact_quantiles
+from tidemark.session import cut_lineage
 
 
 def good_segments(segments: DataFrame) -> DataFrame:
@@ -124,6 +126,8 @@ def density_map(
 
 def dense_region(density: DataFrame, share: float = 0.95) -> DataFrame:
     """Grid points whose density exceeds the class's quantile (linear interpolation)."""
-    # The grid of a class has a fixed number of points.
-    cut = F.percentile("density", F.lit(share)).over(Window.partitionBy("risk_class"))
-    return density.withColumn("threshold", cut).where(F.col("density") > F.col("threshold"))
+    density = cut_lineage(density)
+    cut = exact_quantiles(density, "density", [share], ["risk_class"]).select(
+        "risk_class", F.col("quantiles")[0].alias("threshold")
+    )
+    return density.join(cut, "risk_class").where(F.col("density") > F.col("threshold")).select(*density.columns, "threshold")

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions import classes
+from tidemark.operators.ranking import running_sums
 
 # Gear classes of the study, in the spelling of the port-visit table.
 FISHING_GEAR = (
@@ -155,16 +155,15 @@ def trim_small_ports(panel: DataFrame, share: float = 0.95) -> DataFrame:
     """Drop every port with a count below the cut of the cumulative share.
 
     Counts are added up from the largest; the cut is the first count whose running
-    share passes ``share``, and equal counts share a step. The panel holds two rows
-    per port state, which bounds the windows over all of it.
+    share passes ``share``, and equal counts share a step.
     """
-    n = F.col("n_visits")
-    downward = Window.orderBy(F.desc("n_visits")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.partitionBy(F.lit(1))
-    shared = panel.withColumn("_share", F.sum(n).over(downward) / F.sum(n).over(everything))
-    cut = shared.withColumn("_cut", F.max(F.when(F.col("_share") > share, n)).over(everything))
-    small = F.max(F.when(n < F.col("_cut"), 1).otherwise(0)).over(Window.partitionBy("port_iso3"))
-    return cut.withColumn("_small", small).where("_small = 0").drop("_share", "_cut", "_small")
+    running, total = running_sums(panel, "n_visits", F.col("n_visits"), descending=True)
+    past = running.where(F.col("running") > F.lit(share) * F.lit(total))
+    cut = past.agg(F.max("n_visits")).first()[0]
+    if cut is None:
+        return panel
+    small = panel.where(F.col("n_visits") < F.lit(cut)).select("port_iso3").distinct()
+    return panel.join(small, "port_iso3", "left_anti").select(*panel.columns)
 
 
 def policy_effect(panel: DataFrame) -> DataFrame:

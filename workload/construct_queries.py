@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions import classes
 from tidemark.functions.clock import hex_millis, hours_between, null_after, null_before, whole_minutes
 from tidemark.functions.geo import cell_area_km2, degree_bin, haversine_m, inside_world, midpoint
 from tidemark.operators.intervals import contained_in
+from tidemark.operators.ranking import exact_quantiles, running_sums
 from tidemark.operators.sequences import ordered_scan
 from tidemark.operators.skew import slice_groups
 from tidemark.operators.spatial import far_from_all, near_any as near_any_site, radius_join
@@ -528,6 +528,37 @@ def quantile_threshold(q: Inputs):
     return values.agg(F.percentile("l_quantity", F.lit(0.95), F.col("n")).alias("cut"))
 
 
+_PROBABILITIES = (0.0, 0.025, 0.5, 0.95, 1.0)
+
+
+@query(
+    "d11_continuous_quantiles", "l_returnflag n:i " + " ".join(f"q{i}:d" for i in range(5)),
+    "(SELECT l_returnflag, count(*) AS n, "
+    + ", ".join(f"quantile_cont(l_extendedprice, {p}) AS q{i}" for i, p in enumerate(_PROBABILITIES))
+    + " FROM lineitem GROUP BY 1)",
+)
+def continuous_quantiles(q: Inputs):
+    found = exact_quantiles(q.table("lineitem"), "l_extendedprice", _PROBABILITIES, ["l_returnflag"])
+    return found.select("l_returnflag", "n", *[F.col("quantiles")[i].alias(f"q{i}") for i in range(5)])
+
+
+@query(
+    "d8_continuous_summary", "mean:d sd:d se:d lower:d upper:d",
+    """(SELECT avg(x) AS mean, stddev_samp(x) AS sd, stddev_samp(x) / sqrt(count(x)) AS se, quantile_cont(x, 0.025) AS lower,
+          quantile_cont(x, 0.975) AS upper FROM (SELECT abs(o_totalprice - 100000)::DOUBLE AS x FROM orders))""",
+)
+def continuous_summary(q: Inputs):
+    rows = q.table("orders").select(F.abs(F.col("o_totalprice") - 100000).cast("double").alias("x"))
+    moments = rows.agg(
+        F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), (F.stddev_samp("x") / F.sqrt(F.count("x"))).alias("se")
+    )
+    bounds = exact_quantiles(rows, "x", (0.025, 0.975)).select(
+        F.col("quantiles")[0].alias("lower"), F.col("quantiles")[1].alias("upper")
+    )
+    # One row each.
+    return moments.crossJoin(bounds)
+
+
 @query("d12_distinct_values", "o_orderpriority", "(SELECT DISTINCT o_orderpriority FROM orders)")
 def distinct_values(q: Inputs):
     return q.table("orders").select("o_orderpriority").distinct()
@@ -618,12 +649,19 @@ def paired_events(q: Inputs):
 )
 def cumulative_share(q: Inputs):
     counts = q.table("part").groupBy("p_size").agg(F.count("*").alias("n"))
-    steps = counts.groupBy("n").agg(F.sum("n").alias("step"))
-    # The distinct counts of at most 50 sizes.
-    running = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    share = F.sum("step").over(running) / F.sum("step").over(whole)
-    return steps.withColumn("share", share).withColumn("past", F.col("share") > 0.95)
+    running, total = running_sums(counts, "n", F.col("n"), descending=True)
+    share = F.col("running") / F.lit(total)
+    return running.select("n", share.alias("share"), (share > 0.95).alias("past"))
+
+
+@query(
+    "e9_running_totals", "o_totalprice:d rows:i running:i",
+    """(SELECT o_totalprice, rows, sum(step) OVER (ORDER BY o_totalprice) AS running FROM (
+          SELECT o_totalprice, count(*) AS rows, sum(round(o_totalprice * 100)::BIGINT) AS step FROM orders GROUP BY 1))""",
+)
+def running_totals(q: Inputs):
+    """A column with nearly as many values as rows."""
+    return running_sums(q.table("orders"), "o_totalprice", F.round(F.col("o_totalprice") * 100).cast("long"))[0]
 
 
 # -- F, G: order and sets ---------------------------------------------------------------------------------------
