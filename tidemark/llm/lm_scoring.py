@@ -322,7 +322,10 @@ def shallow_levels(totals: DataFrame, depth: int) -> list[ct.Level]:
 
 
 def answers(dictionary: DataFrame, totals: DataFrame, shallow: list[ct.Level], depth: int) -> DataFrame:
-    """Per chunk and bucket, a value per entry: log2 probability, or a word's training count."""
+    """Per chunk and bucket, a value per entry: log2 probability, or a word's training count.
+
+    Words come back by name; a chunk works out its grams in the same order again.
+    """
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sums, words, values = None, _GramSums(), {}, None
@@ -341,7 +344,9 @@ def answers(dictionary: DataFrame, totals: DataFrame, shallow: list[ct.Level], d
             if bucket < 0:
                 names = sorted(set().union(*(_split(p) for p in pieces)))
                 found = np.array([words[w] for w in names], np.float64)
+                entries = _joined(names)
             else:
+                entries = b""
                 if values is None:
                     sums.merge()
                     tree = shallow + ct.levels(sums.grams, sums.counts, depth, top=2)
@@ -353,11 +358,14 @@ def answers(dictionary: DataFrame, totals: DataFrame, shallow: list[ct.Level], d
                 grams = np.unique(np.concatenate([_spread(p) for p in pieces]))
                 found = values[np.searchsorted(sums.grams, grams)]
             yield pa.record_batch(
-                [pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([found.tobytes()], pa.binary())],
-                names=["bucket", "chunk", "found"],
+                [
+                    pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([entries], pa.binary()),
+                    pa.array([found.tobytes()], pa.binary()),
+                ],
+                names=["bucket", "chunk", "words", "found"],
             )
 
-    return _dealt(totals.unionByName(dictionary)).mapInArrow(answer, "bucket int, chunk long, found binary")
+    return _dealt(totals.unionByName(dictionary)).mapInArrow(answer, "bucket int, chunk long, words binary, found binary")
 
 
 def scores(
@@ -394,23 +402,26 @@ def scores(
         schema.add(field)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        norms, held = left.column("norm").to_pylist(), left.column("held_out").to_pylist()
+        norms = left.column("norm").to_pylist()
         values = dict(zip(right.column("bucket").to_pylist(), right.column("found").to_pylist()))
-        grams, _ = _chunk_grams(norms, held, depth)
+        grams = np.unique(
+            np.concatenate([np.unique(ct.text_grams(norms[first:last], depth)[0]) for first, last in _steps(norms)])
+        )
         known = np.empty(len(grams))
         for bucket, at in _by_bucket(grams, depth, buckets):
             known[at] = np.frombuffer(values[bucket])
-        log_of, seen = {}, {}
-        for bucket, words in _chunk_words(norms, held, buckets).items():
-            names, counts = sorted(words), np.frombuffer(values[bucket])
-            log_of.update(zip(names, np.log10((counts + 0.5) / scale).tolist()))
-            seen.update(zip(names, (counts > 0).tolist()))
-        end = math.log10((train_texts + 0.5) / scale)
+        end, unseen = (math.log10((n + 0.5) / scale) for n in (train_texts, 0))
+        log_of: dict[bytes, float] = {}
+        for bucket, names in zip(right.column("bucket").to_pylist(), right.column("words").to_pylist()):
+            if bucket < 0:
+                counts = np.frombuffer(values[bucket])
+                logs = np.where(counts > 0, np.log10((counts + 0.5) / scale), unseen)
+                log_of.update(zip(_split(names), logs.tolist()))
         base, n_known = [], []
         for norm in norms:
-            words = norm.split()
-            base.append(math.fsum(map(log_of.__getitem__, words)) + end)
-            n_known.append(sum(map(seen.__getitem__, words)) + (train_texts > 0))
+            logs = list(map(log_of.__getitem__, norm.split()))
+            base.append(sum(logs) + end)
+            n_known.append(len(logs) - logs.count(unseen) + (train_texts > 0))
         places, bits = _Places(grams), np.empty(len(norms))
         for first, last in _steps(norms):
             positions, starts = ct.text_grams(norms[first:last], depth)
