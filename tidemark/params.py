@@ -40,4 +40,16 @@ class LoiteringParams:
 
 @dataclass(frozen=True)
 class PortStopParams:
+    """Pause between stops, and the range of day shards of the study, both ends included.
+
+    Without bounds, tables need not be sharded.
+    """
+
     short_gap_min: int = 30
+    first_shard: str | None = None
+    last_shard: str | None = None
+
+
+# The shard ranges of the two port studies.
+STOP_STUDY_SHARDS = ("20120101", "20191231")
+VISIT_STUDY_SHARDS = ("20150101", "20201231")

@@ -17,6 +17,7 @@ from tidemark.plans.vessels import (
     restrict_to_vessel_years,
     vessels_in_every_year,
 )
+from tidemark.sources.tables import in_shards
 
 # A visit is named by its vessel and both its bounds.
 VISIT = ["vessel_id", "start_timestamp", "end_timestamp"]
@@ -25,9 +26,12 @@ ORDER = ["timestamp", "anchorage_id", "event_type"]
 BEGIN, END, GAP = "PORT_STOP_BEGIN", "PORT_STOP_END", "PORT_GAP"
 
 
-def explode_events(port_visits: DataFrame) -> DataFrame:
-    """One row per event of the nested ``events`` array, with the visit's date and year."""
-    return port_visits.select(*VISIT, F.inline("events")).select(
+def explode_events(port_visits: DataFrame, params: PortStopParams = PortStopParams()) -> DataFrame:
+    """One row per event of the nested ``events`` array, with the visit's date and year.
+
+    The shard range of ``params`` reaches the scan as a filter on its partitions.
+    """
+    return in_shards(port_visits, params.first_shard, params.last_shard).select(*VISIT, F.inline("events")).select(
         *VISIT,
         F.to_date("start_timestamp").alias("date"),
         F.year("start_timestamp").alias("year"),
@@ -107,7 +111,7 @@ def port_stops(
 
     All four scans share one exchange by visit; large visits are sliced once.
     """
-    events = slice_groups(explode_events(port_visits), VISIT, order)
+    events = slice_groups(explode_events(port_visits, params), VISIT, order)
     return stop_durations(join_close_stops(drop_implausible(events, order), params, order), order)
 
 
@@ -146,8 +150,12 @@ def port_stop_table(
     params: PortStopParams = PortStopParams(),
     order: Sequence[str] = ORDER,
 ) -> DataFrame:
-    """Dock stops of good fishing vessels with flag, gear and port, tied to voyages."""
-    stops = resolve_identity(port_stops(port_visits, params, order), vessel_daily, "date")
+    """Dock stops of good fishing vessels with flag, gear and port, tied to voyages.
+
+    The shard range holds for the visits and for the identities.
+    """
+    daily = in_shards(vessel_daily, params.first_shard, params.last_shard)
+    stops = resolve_identity(port_stops(port_visits, params, order), daily, "date")
     known = restrict_to_vessel_years(stops, good).join(
         attributes.where(F.col("is_fishing").eqNullSafe(True)).drop("is_fishing"),
         ["ssvid", "year"],
@@ -172,22 +180,23 @@ def port_visit_table(
     good: DataFrame,
     by_year: DataFrame,
     years: Sequence[int] = (2015, 2017),
+    shards: tuple[str | None, str | None] = (None, None),
 ) -> DataFrame:
     """Port visits of the two study years by good vessels present in both.
 
-    The study years and the vessel filters drop rows only, so they run first; the
+    ``shards`` is the range of day shards read of visits and identities. The study years and the vessel filters drop rows only, so they run first; the
     attribute and encounter joins keep every visit.
     """
     places = anchorages.select(
         F.col("s2id").alias("start_anchorage_id"),
         F.col("label").alias("port_name"), F.col("iso3").alias("port_iso3"),
     )
-    visits = port_visits.select(
+    visits = in_shards(port_visits, *shards).select(
         "vessel_id", "start_timestamp", "end_timestamp", "start_anchorage_id",
         F.to_date("start_timestamp").alias("date"),
         F.year("start_timestamp").alias("year"),
     ).where(F.col("year").isin(list(years)))
-    identified = resolve_identity(visits, vessel_daily, "date").drop("vessel_id", "date")
+    identified = resolve_identity(visits, in_shards(vessel_daily, *shards), "date").drop("vessel_id", "date")
     kept = restrict_to_vessel_years(identified, good).join(
         vessels_in_every_year(by_year, years), "ssvid", "left_semi"
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,14 +29,58 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> D
     return df.sparkSession.read.parquet(path)
 
 
-def write_sharded(df: DataFrame, path: str, time: str, files: int = 1) -> None:
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: texts and nested values by their length, others by their width."""
+    total = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        c, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            size = F.octet_length(c)
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            size = F.octet_length(F.to_json(F.struct(c)))
+        else:
+            size = F.lit(8)
+        total = total + F.coalesce(size, F.lit(0))
+    return total
+
+
+def write_sharded(
+    df: DataFrame, path: str, time: str, files: int | None = None, file_bytes: int = 128 << 20
+) -> None:
     """Write one partition ``dt=YYYYMMDD`` per day of a timestamp column.
 
-    A day goes to at most ``files`` tasks, and so has at most that many files.
+    A day goes to at most ``files`` tasks, and so has at most that many files; without
+    ``files`` to as many as its own bytes fill at ``file_bytes`` each (:func:`row_bytes`,
+    before encoding), so a large day never lands in one task.
     """
     sharded = df.withColumn(SHARD, F.date_format(time, "yyyyMMdd"))
-    part = F.pmod(F.xxhash64(*df.columns), F.lit(files))
-    sharded.repartition(SHARD, part).write.mode("errorifexists").partitionBy(SHARD).parquet(path)
+    # Maps have no hash of their own.
+    values = [F.col(f"`{f.name}`") for f in df.schema.fields]
+    spread = F.xxhash64(
+        *[F.to_json(F.struct(c)) if isinstance(f.dataType, T.MapType) else c for f, c in zip(df.schema.fields, values)]
+    )
+    if files is None:
+        sizes = sharded.groupBy(SHARD).agg(F.ceil(F.sum(row_bytes(df)) / F.lit(file_bytes)).alias("_files"))
+        # One row per day.
+        sharded = sharded.join(sizes.withColumnRenamed(SHARD, "_day"), F.col(SHARD).eqNullSafe(F.col("_day")), "left")
+        part = F.pmod(spread, F.greatest("_files", F.lit(1)))
+    else:
+        part = F.pmod(spread, F.lit(files))
+    dealt = sharded.repartition(SHARD, part).select(*df.columns, SHARD)
+    dealt.write.mode("errorifexists").partitionBy(SHARD).parquet(path)
+
+
+def in_shards(df: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The rows of shards ``first`` to ``last`` (``YYYYMMDD``, inclusive); all without bounds."""
+    if first is None and last is None:
+        return df
+    if SHARD not in df.columns:
+        raise ValueError(f"a shard range needs a table with the column {SHARD!r}")
+    if first is not None:
+        df = df.where(F.col(SHARD) >= first)
+    if last is not None:
+        df = df.where(F.col(SHARD) <= last)
+    return df
 
 
 def read_sharded(
@@ -54,11 +98,7 @@ def read_sharded(
     reader = spark.read if schema is None else spark.read.schema(schema)
     # Shard names stay strings, as they compare.
     df = reader.parquet(path).withColumn(SHARD, F.col(SHARD).cast("string"))
-    if first is not None:
-        df = df.where(F.col(SHARD) >= first)
-    if last is not None:
-        df = df.where(F.col(SHARD) <= last)
-    return df
+    return in_shards(df, first, last)
 
 
 def read_csv(

@@ -13,7 +13,8 @@ from tidemark.operators.ranking import exact_quantiles, running_sums
 from tidemark.operators.sequences import ordered_scan
 from tidemark.operators.skew import slice_groups
 from tidemark.operators.spatial import far_from_all, near_any as near_any_site, radius_join
-from tidemark.plans import policy, risk, vessels, voyages
+from tidemark.params import PortStopParams
+from tidemark.plans import policy, ports, risk, vessels, voyages
 from tidemark.session import scratch_path
 from tidemark.sources import schemas, tables
 from workload.inputs import VOYAGES, Inputs
@@ -45,6 +46,32 @@ def shard_range(q: Inputs):
     return shards.groupBy("dt").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+_WEEKS = ("20240108", "20240121")
+_IN_WEEKS = "strftime(start_timestamp, '%Y%m%d') BETWEEN '{}' AND '{}'".format(*_WEEKS)
+
+
+def _sharded_visits(q: Inputs):
+    path = scratch_path(q.spark, "visits-by-day")
+    tables.write_sharded(q.port_visits().drop("dt"), path, "start_timestamp")
+    return tables.read_sharded(q.spark, path)
+
+
+@query(
+    "k37_port_events_in_shards", "vessel_id start_timestamp:t timestamp:t anchorage_id event_type",
+    f"(SELECT * FROM port_events WHERE {_IN_WEEKS})", "port_events",
+)
+def events_in_shards(q: Inputs):
+    return ports.explode_events(_sharded_visits(q), PortStopParams(first_shard=_WEEKS[0], last_shard=_WEEKS[1]))
+
+
+@query(
+    "k40_stop_durations_in_shards", "vessel_id start_timestamp:t anchorage_id stop_begin_time:t duration_min:i",
+    f"(SELECT * FROM durations_30 WHERE {_IN_WEEKS})", "durations_30",
+)
+def durations_in_shards(q: Inputs):
+    return ports.port_stops(_sharded_visits(q), PortStopParams(first_shard=_WEEKS[0], last_shard=_WEEKS[1]))
+
+
 @query("a3_all_shards_scan", "dt n:i", "(SELECT strftime(ts, '%Y%m%d') AS dt, count(*) AS n FROM events GROUP BY 1)")
 def all_shards(q: Inputs):
     return tables.read_sharded(q.spark, _sharded(q)).groupBy("dt").agg(F.count("*").alias("n"))
@@ -377,11 +404,11 @@ def anti_join(q: Inputs):
 
 
 @query(
-    "c13_anti_join_on_array", "ssvid",
-    "(SELECT ssvid FROM by_year WHERE year = 2000 AND c_custkey NOT IN (SELECT id FROM bad_vessels))", "by_year", "bad_vessels",
+    "c13_anti_join_on_array", "ssvid year:i",
+    "(SELECT ssvid, year FROM by_year WHERE c_custkey NOT IN (SELECT id FROM bad_vessels))", "by_year", "bad_vessels",
 )
 def anti_array(q: Inputs):
-    return vessels.quality_vessel_years(q.by_year().where("year = 2000"), q.bad_vessels(), rules=())
+    return vessels.quality_vessel_years(q.by_year(), q.bad_vessels(), rules=())
 
 
 @query(
@@ -480,7 +507,7 @@ def count_values(q: Inputs):
 @query(
     "d6_d7_first_and_any", "trip_id to_iuu_high:i with_china:i loitering:i",
     """(SELECT trip_id, max(to_iuu_high) AS to_iuu_high, max(CASE WHEN neighbor_flag_group = 'china' THEN 1 ELSE 0 END) AS with_china,
-          (trip_id IN (SELECT trip_id FROM carrier_loitering))::INT AS loitering
+          (trip_id IN (SELECT trip_id FROM carrier_loitering WHERE ssvid IS NOT NULL))::INT AS loitering
         FROM carrier_rows WHERE neighbor_vessel_class IS NOT NULL GROUP BY trip_id)""",
     "carrier_rows", "carrier_loitering",
 )

@@ -100,7 +100,7 @@ class Inputs:
         return customers.unionByName(suppliers).selectExpr(
             "cast(id AS string) AS ssvid",
             "named_struct("
-            " 'shipname_mostcommon', named_struct('value', CASE k % 11 WHEN 0 THEN 'BOUY 7' WHEN 1 THEN 'X 55%'"
+            " 'shipname_mostcommon', named_struct('value', CASE k % 29 WHEN 0 THEN 'BOUY 7' WHEN 1 THEN 'X 55%'"
             "   WHEN 2 THEN '3.7V' WHEN 3 THEN 'ABC@12V3' WHEN 4 THEN 'NET MARK' WHEN 5 THEN '123-456' ELSE name END),"
             " 'n_shipname_mostcommon', named_struct('value', concat('S', id)),"
             " 'n_imo_mostcommon', named_struct('value', concat('I', id)),"
@@ -126,7 +126,7 @@ class Inputs:
             f" ELSE element_at(array({RAW_GEAR}), cast(c_custkey % 12 + 1 AS int)) END) AS inferred",
             "named_struct('overlap_hours', cast(c_custkey % 90 AS double),"
             " 'overlap_hours_multinames', CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 10 < 8 THEN 0D ELSE 1D END,"
-            " 'offsetting', c_custkey % 13 = 0, 'fishing_hours', cast((c_custkey + year) % 60 AS double),"
+            " 'offsetting', c_custkey % 13 = 0, 'fishing_hours', cast((c_custkey + year) % 90 AS double),"
             " 'active_hours', cast(c_custkey % 300 AS double)) AS activity",
             "named_struct('n_shipname', transform(filter(sequence(0, 9), i -> i < c_custkey % 10), i ->"
             " named_struct('value', CASE WHEN i <> 6 THEN concat('NAME', i % 6) END,"
@@ -421,8 +421,10 @@ class Inputs:
         )
 
     def carrier_loitering(self) -> DataFrame:
-        return self.table("lineitem").where("l_quantity >= 46").selectExpr(
-            "concat('t', l_orderkey) AS trip_id", "cast(l_suppkey AS string) AS ssvid",
+        """The rows of every third trip name no vessel and do not count as loitering."""
+        return self.table("lineitem").selectExpr(
+            "concat('t', l_orderkey) AS trip_id",
+            "CASE WHEN l_orderkey % 3 <> 0 THEN cast(l_suppkey AS string) END AS ssvid",
             "cast((l_partkey * 5) % 360 - 180 AS double) AS lon_mean",
             "cast((l_suppkey * 7) % 160 - 80 AS double) AS lat_mean",
         )

@@ -75,7 +75,7 @@ cte("legs", """
     FROM orders JOIN range(2) r(i) ON i = 0 OR o_orderkey % 9 = 0""")
 cte("vessel_info", f"""
     SELECT id::VARCHAR AS ssvid,
-      CASE k % 11 WHEN 0 THEN 'BOUY 7' WHEN 1 THEN 'X 55%' WHEN 2 THEN '3.7V' WHEN 3 THEN 'ABC@12V3'
+      CASE k % 29 WHEN 0 THEN 'BOUY 7' WHEN 1 THEN 'X 55%' WHEN 2 THEN '3.7V' WHEN 3 THEN 'ABC@12V3'
         WHEN 4 THEN 'NET MARK' WHEN 5 THEN '123-456' ELSE name END AS shipname,
       'S' || id AS n_shipname, 'I' || id AS n_imo, 'C' || id AS n_callsign,
       CASE WHEN {_FLAGS}[nation % 7 + 1] = 'UNK' THEN {_FLAGS}[(nation + 3) % 7 + 1] ELSE {_FLAGS}[nation % 7 + 1] END AS flag,
@@ -93,7 +93,7 @@ cte("by_year", f"""
       CASE WHEN c_custkey % 2 = 0 THEN 'pole_and_line' ELSE {_GEAR}[c_custkey % 12 + 1] END AS class_ag,
       c_custkey % 90 AS overlap_hours,
       CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 10 < 8 THEN 0 ELSE 1 END AS overlap_names,
-      c_custkey % 13 = 0 AS offsetting, (c_custkey + year) % 60 AS fishing_hours, c_custkey % 300 AS active_hours,
+      c_custkey % 13 = 0 AS offsetting, (c_custkey + year) % 90 AS fishing_hours, c_custkey % 300 AS active_hours,
       CASE WHEN c_custkey % 5 = 0 THEN []::VARCHAR[] WHEN c_custkey % 3 = 0 THEN ['trawlers', 'squid_jigger']
         ELSE ['trawlers', 'set_longlines'] END AS registered,
       c_custkey % 4 <> 1 AS on_list, c_custkey
@@ -387,8 +387,8 @@ cte("dock_stops", """
     JOIN attributes t ON v.ssvid = t.ssvid AND d.year = t.year
     JOIN anchorages a ON d.anchorage_id = a.s2id
     WHERE t.is_fishing AND a.at_dock AND duration_min IS NOT NULL
-      AND (v.ssvid, d.year) IN (SELECT (ssvid, year) FROM light_years WHERE ssvid NOT IN (SELECT ssvid FROM offset_vessels))""",
-    "durations_720", "vessel_daily", "attributes", "anchorages", "light_years", "offset_vessels")
+      AND (v.ssvid, d.year) IN (SELECT (ssvid, year) FROM good)""",
+    "durations_720", "vessel_daily", "attributes", "anchorages", "good")
 
 # -- port visits of the policy study -----------------------------------------------------------------
 
@@ -557,5 +557,5 @@ cte("carrier_rows", f"""
       {', '.join(f'{_carrier_vote(i)} AS to_{r}_{v}' for r in ('iuu', 'la') for i, v in enumerate(_LEVELS))}
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 cte("carrier_loitering", """
-    SELECT 't' || l_orderkey AS trip_id, l_suppkey::VARCHAR AS ssvid, ((l_partkey * 5) % 360 - 180)::DOUBLE AS lon_mean,
-      ((l_suppkey * 7) % 160 - 80)::DOUBLE AS lat_mean FROM lineitem WHERE l_quantity >= 46""")
+    SELECT 't' || l_orderkey AS trip_id, CASE WHEN l_orderkey % 3 <> 0 THEN l_suppkey::VARCHAR END AS ssvid, ((l_partkey * 5) % 360 - 180)::DOUBLE AS lon_mean,
+      ((l_suppkey * 7) % 160 - 80)::DOUBLE AS lat_mean FROM lineitem""")

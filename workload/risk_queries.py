@@ -109,7 +109,7 @@ _CARRIER_HOT = [f"time_at_sea_{v}" for v in classes.TIME_AT_SEA_NAMES] + [
     )
     + " FROM (SELECT trip_id, first(time_at_sea) AS time_at_sea, first(carrier_flag_group) AS carrier_flag_group,"
     " first(to_iuu_no) AS to_iuu_no, first(to_iuu_high) AS to_iuu_high, first(to_la_med) AS to_la_med,"
-    " (trip_id IN (SELECT trip_id FROM carrier_loitering))::INT AS loitering, "
+    " (trip_id IN (SELECT trip_id FROM carrier_loitering WHERE ssvid IS NOT NULL))::INT AS loitering, "
     + ", ".join(f"max((neighbor_flag_group = '{v}')::INT) AS with_{v}" for v in classes.FLAG_GROUP_NAMES)
     + ", "
     + ", ".join(f"max((neighbor_vessel_class = '{v}')::INT) AS with_{v}" for v in classes.GEAR_CLASS_NAMES)
@@ -357,7 +357,7 @@ _CARRIER_CELLS = f"""SELECT *, to_iuu_no + to_iuu_low + to_iuu_med + to_iuu_high
     SELECT trip_id, first(time_at_sea) AS is_tas, first(carrier_flag_group) AS is_flag,
       {_signature_sql('neighbor_flag_group', classes.FLAG_GROUP_NAMES)} AS with_flag,
       {_signature_sql('neighbor_vessel_class', classes.GEAR_CLASS_NAMES)} AS with_gear,
-      CASE WHEN trip_id IN (SELECT trip_id FROM carrier_loitering) THEN 'loitering' ELSE 'no_loitering' END AS loitering,
+      CASE WHEN trip_id IN (SELECT trip_id FROM carrier_loitering WHERE ssvid IS NOT NULL) THEN 'loitering' ELSE 'no_loitering' END AS loitering,
       {', '.join(f'first(to_iuu_{v}) AS to_iuu_{v}' for v in ('no', 'low', 'med', 'high'))}
     FROM carrier_rows WHERE neighbor_vessel_class IS NOT NULL GROUP BY trip_id)"""
 
