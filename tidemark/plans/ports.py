@@ -111,7 +111,10 @@ def port_stops(
 
     All four scans share one exchange by visit; large visits are sliced once.
     """
-    events = slice_groups(explode_events(port_visits, params), VISIT, order)
+    visits = in_shards(port_visits, params.first_shard, params.last_shard)
+    events = slice_groups(
+        explode_events(visits), VISIT, order, counted=visits, weight=F.greatest(F.size("events"), F.lit(0))
+    )
     return stop_durations(join_close_stops(drop_implausible(events, order), params, order), order)
 
 

@@ -14,6 +14,7 @@ from tidemark.operators.skew import SLICE, slice_groups
 from tidemark.operators.spatial import radius_join
 from tidemark.params import VoyageParams
 from tidemark.session import cut_lineage
+from tidemark.sources.tables import write_bucketed
 
 KEY = ["ssvid"]
 # Total order of the legs of a vessel; the last columns only break ties.
@@ -183,11 +184,21 @@ def voyages_from_legs(
     One exchange by vessel serves the removal of duplicate legs and both merges.
     """
     flagged = flag_canal_ends(clean_legs(legs, params), anchorages, params)
-    transits = merge_canal_transits(slice_groups(distinct_legs(flagged), KEY, ORDER))
+    transits = merge_canal_transits(slice_groups(distinct_legs(flagged), KEY, ORDER, counted=legs))
     voyages = merge_short_stops(with_port_stops(transits), params)
     return final_trips(label_voyages(voyages.drop(SLICE), anchorages), params)
 
 
+def store_voyages(voyages: DataFrame, name: str, path: str, buckets: int | None = None) -> DataFrame:
+    """Voyages as a table in buckets by vessel, sorted by vessel and time.
+
+    Joins and aggregates by vessel, or by vessel and more, read it without an exchange
+    (:func:`tidemark.session.configure` lets Spark use the vessel alone). ``buckets`` is
+    the number of shuffle partitions unless given.
+    """
+    return write_bucketed(voyages, name, path, KEY, [*KEY, "trip_start"], buckets)
+
+
 # -- ports -----------------------------------------------------------------------
 
 
@@ -304,10 +315,30 @@ def fishing_trip_features(
 ) -> DataFrame:
     """One row per fishing trip: ports, flag group, gear, time at sea and risk votes.
 
+    See :func:`fishing_features_of`.
+    """
+    return fishing_features_of(
+        voyages_from_legs(legs, anchorages, params), anchorages, port_risk, good, attributes, params, exclude_ports,
+        match_anchorages,
+    )
+
+
+def fishing_features_of(
+    voyages: DataFrame,
+    anchorages: DataFrame,
+    port_risk: DataFrame,
+    good: DataFrame,
+    attributes: DataFrame,
+    params: VoyageParams = VoyageParams(),
+    exclude_ports: Sequence[str] = classes.DUPLICATE_PORTS,
+    match_anchorages: DataFrame | None = None,
+) -> DataFrame:
+    """Fishing trip features of voyages, which may be stored ones (:func:`store_voyages`).
+
     ``good`` lists the good vessels and ``attributes`` the vessel attributes by year
     (:mod:`tidemark.plans.vessels`).
     """
-    trips = disambiguate_labels(voyages_from_legs(legs, anchorages, params))
+    trips = disambiguate_labels(voyages)
     trips = restrict_to_vessels(trips, good, params)
     fishing = attributes.where(F.col("is_fishing").eqNullSafe(True))
     trips = trips.join(

@@ -29,6 +29,18 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> D
     return df.sparkSession.read.parquet(path)
 
 
+def write_bucketed(
+    df: DataFrame, name: str, path: str, by: Sequence[str], order: Sequence[str] = (), buckets: int | None = None
+) -> DataFrame:
+    """Store ``df`` under ``path`` as table ``name`` in buckets of ``by``, each bucket one sorted file."""
+    spark = df.sparkSession
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Dealt like the buckets, so that a bucket is written by one task.
+    dealt = df.repartition(count, *by)
+    dealt.write.mode("errorifexists").option("path", path).bucketBy(count, *by).sortBy(*(order or by)).saveAsTable(name)
+    return spark.table(name)
+
+
 def row_bytes(df: DataFrame) -> Column:
     """About the bytes of a row: texts and nested values by their length, others by their width."""
     total = F.lit(0).cast("long")

@@ -55,9 +55,14 @@ def carrier_members(q: Inputs):
     return encounters.carrier_members(members(q), carriers(q))
 
 
+def _pairs(q: Inputs):
+    """Pairs with the members worked out once."""
+    return encounters.member_pairs(members(q), carriers(q))
+
+
 @query("k29_encounter_pairs", EVENT + " carrier_ssvid neighbor_ssvid event_duration_hr:d", "pairs", "pairs")
 def pairs(q: Inputs):
-    return encounters.pair_members(carrier_members(q), members(q))
+    return _pairs(q)
 
 
 @query(
@@ -156,7 +161,7 @@ def port_events(q: Inputs):
 
 @query("k38_plausible_stops", VISIT + " timestamp:t anchorage_id event_type", "plausible", "plausible")
 def plausible_stops(q: Inputs):
-    return ports.drop_implausible(slice_groups(port_events(q), ports.VISIT, ports.ORDER))
+    return ports.drop_implausible(slice_groups(port_events(q), ports.VISIT, ports.ORDER, counted=q.port_visits(), weight=F.size("events")))
 
 
 @query("k39_close_stops_joined", VISIT + " timestamp:t anchorage_id event_type", "joined_30", "joined_30")

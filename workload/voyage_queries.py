@@ -41,7 +41,7 @@ def canal_flags(q: Inputs):
 def transits(q: Inputs):
     flagged = voyages.flag_canal_ends(clean_legs(q), q.anchorages(), VOYAGES)
     legs = voyages.distinct_legs(flagged)
-    return voyages.merge_canal_transits(slice_groups(legs, voyages.KEY, voyages.ORDER))
+    return voyages.merge_canal_transits(slice_groups(legs, voyages.KEY, voyages.ORDER, counted=q.legs()))
 
 
 @query("k05_port_stop_hours", ENDS + " port_stop_duration_hr:d", "stops", "stops")
