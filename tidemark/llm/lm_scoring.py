@@ -141,14 +141,28 @@ def _chunk_words(norms: list[bytes], held_out: list[bool], buckets: int) -> dict
 
 
 def _squeezed(numbers: np.ndarray) -> bytes:
-    """Integers as differences, by byte planes, compressed."""
-    planes = np.diff(numbers, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T
-    return zstandard.compress(planes.tobytes(), 1)
+    """Eight-byte numbers by byte planes, compressed."""
+    return zstandard.compress(numbers.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
-def _spread(data: bytes) -> np.ndarray:
+def _spread(data: bytes, kind: type = np.int64) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(np.int64).ravel().cumsum()
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _steps_between(grams: np.ndarray) -> bytes:
+    """Grams in order as differences."""
+    return _squeezed(np.diff(grams, prepend=np.int64(0)))
+
+
+def _in_order(data: bytes) -> np.ndarray:
+    return _spread(data).cumsum()
+
+
+def _distinct(grams: np.ndarray) -> np.ndarray:
+    """Distinct values in order, by sorting: most grams of a step are distinct."""
+    grams = np.sort(grams)
+    return grams[np.r_[True, grams[1:] != grams[:-1]]] if len(grams) else grams
 
 
 def _joined(words: list[bytes]) -> bytes:
@@ -176,7 +190,7 @@ def dictionaries(chunks: DataFrame, depth: int, buckets: int) -> DataFrame:
         for chunk, norms, held in _whole_chunks(batches):
             grams, n = _chunk_grams(norms, held, depth)
             for bucket, at in _by_bucket(grams, depth, buckets):
-                yield _row(bucket, chunk, 0, _squeezed(grams[at]), _squeezed(n[at]))
+                yield _row(bucket, chunk, 0, _steps_between(grams[at]), _squeezed(n[at]))
             for bucket, words in _chunk_words(norms, held, buckets).items():
                 names = sorted(words)
                 counts = np.array([words[w] for w in names], np.int64)
@@ -240,7 +254,7 @@ class _GramSums:
         self.waiting = 0
 
     def add(self, entries: bytes, counts: bytes) -> None:
-        self.fresh.append((_spread(entries), _spread(counts)))
+        self.fresh.append((_in_order(entries), _spread(counts)))
         self.waiting += len(self.fresh[-1][0])
         if self.waiting > max(len(self.grams), 1 << 18):
             self.merge()
@@ -287,7 +301,7 @@ def bucket_counts(dictionary: DataFrame) -> DataFrame:
             if bucket >= 0:
                 for part, first in enumerate(range(0, len(grams.grams), 1 << 20)):
                     cut = slice(first, first + (1 << 20))
-                    yield _row(bucket, None, part, _squeezed(grams.grams[cut]), _squeezed(grams.counts[cut]))
+                    yield _row(bucket, None, part, _steps_between(grams.grams[cut]), _squeezed(grams.counts[cut]))
             else:
                 names, n = list(words), np.fromiter(words.values(), np.int64, len(words))
                 for part, first in enumerate(range(0, len(names), 1 << 19)):
@@ -355,17 +369,18 @@ def answers(dictionary: DataFrame, totals: DataFrame, shallow: list[ct.Level], d
                         cut = slice(first, first + (1 << 18))
                         values[cut] = ct.log2_probabilities(sums.grams[cut], tree)
                     del tree
-                grams = np.unique(np.concatenate([_spread(p) for p in pieces]))
+                grams = _distinct(np.concatenate([_in_order(p) for p in pieces]))
                 found = values[np.searchsorted(sums.grams, grams)]
             yield pa.record_batch(
                 [
                     pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([entries], pa.binary()),
-                    pa.array([found.tobytes()], pa.binary()),
+                    pa.array([_squeezed(found)], pa.binary()),
                 ],
                 names=["bucket", "chunk", "words", "found"],
             )
 
-    return _dealt(totals.unionByName(dictionary)).mapInArrow(answer, "bucket int, chunk long, words binary, found binary")
+    asked = dictionary.withColumn("counts", F.lit(None).cast("binary"))
+    return _dealt(totals.unionByName(asked)).mapInArrow(answer, "bucket int, chunk long, words binary, found binary")
 
 
 def scores(
@@ -404,17 +419,17 @@ def scores(
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         norms = left.column("norm").to_pylist()
         values = dict(zip(right.column("bucket").to_pylist(), right.column("found").to_pylist()))
-        grams = np.unique(
-            np.concatenate([np.unique(ct.text_grams(norms[first:last], depth)[0]) for first, last in _steps(norms)])
+        grams = _distinct(
+            np.concatenate([_distinct(ct.text_grams(norms[first:last], depth)[0]) for first, last in _steps(norms)])
         )
         known = np.empty(len(grams))
         for bucket, at in _by_bucket(grams, depth, buckets):
-            known[at] = np.frombuffer(values[bucket])
+            known[at] = _spread(values[bucket], np.float64)
         end, unseen = (math.log10((n + 0.5) / scale) for n in (train_texts, 0))
         log_of: dict[bytes, float] = {}
         for bucket, names in zip(right.column("bucket").to_pylist(), right.column("words").to_pylist()):
             if bucket < 0:
-                counts = np.frombuffer(values[bucket])
+                counts = _spread(values[bucket], np.float64)
                 logs = np.where(counts > 0, np.log10((counts + 0.5) / scale), unseen)
                 log_of.update(zip(_split(names), logs.tolist()))
         base, n_known = [], []
