@@ -515,6 +515,20 @@ def first_and_any(q: Inputs):
     return risk.carrier_design(q.carrier_rows(), q.carrier_loitering())
 
 
+@query(
+    "d6_first_of_varying_values", "trip_id to_iuu_high:i time_at_sea",
+    """(SELECT trip_id, first(v ORDER BY event_start, neighbor_ssvid) FILTER (v IS NOT NULL) AS to_iuu_high, first(time_at_sea) AS time_at_sea FROM (
+          SELECT *, CASE WHEN neighbor_ssvid::BIGINT % 3 <> 0 THEN neighbor_ssvid::BIGINT % 7 END AS v FROM carrier_rows
+          WHERE neighbor_vessel_class IS NOT NULL) GROUP BY trip_id)""",
+    "carrier_rows",
+)
+def first_of_varying(q: Inputs):
+    """Values that differ from row to row of a trip, some missing: the earliest known one counts."""
+    vessel = F.col("neighbor_ssvid").cast("long")
+    rows = q.carrier_rows().withColumn("to_iuu_high", F.when(vessel % 3 != 0, vessel % 7))
+    return risk.carrier_design(rows, q.carrier_loitering())
+
+
 @query(
     "d8_column_summary", "mean:d sd:d se:d lower:d upper:d",
     """(SELECT avg(x) AS mean, stddev_samp(x) AS sd, stddev_samp(x) / sqrt(count(x)) AS se, quantile_cont(x, 0.025) AS lower,

@@ -510,6 +510,23 @@ def carrier_importance(q: Inputs):
     return attribution.importance(_carrier_terms(q), CARRIER)
 
 
+def _carrier_solo_sql() -> str:
+    def shown(n: str) -> str:
+        return f"unnest(string_split({n}, '+'))" if n.startswith("with_") else n
+
+    rows = " UNION ALL ".join(
+        f"SELECT '{n}' AS factor, {shown(n)} AS category, m{i} AS value, v0 FROM terms" for i, n in enumerate(risk.CARRIER_DESIGN)
+    )
+    return f"(WITH terms AS MATERIALIZED ({_carrier_attribution_sql()}) SELECT * FROM {_effect_sql('factor, category', rows)})"
+
+
+@query(
+    "l09_carrier_solo_effects", "factor category rows:i " + STATS, _carrier_solo_sql(), "carrier_rows", "carrier_loitering"
+)
+def carrier_solo(q: Inputs):
+    return attribution.solo_effects(_carrier_terms(q), CARRIER, signatures=("with_flag", "with_gear"))
+
+
 @query(
     "l10_carrier_combination_effects", "factor1 category1 factor2 category2 rows:i " + STATS,
     _carrier_combination_sql(), "carrier_rows", "carrier_loitering",

@@ -8,7 +8,7 @@ from tidemark.functions import classes
 from tidemark.operators.skew import slice_groups
 from tidemark.plans import vessels, voyages
 from workload.inputs import VOYAGES, Inputs
-from workload.inputs_sql import flag_group, gear_class, time_at_sea
+from workload.inputs_sql import distance_m, flag_group, gear_class, time_at_sea
 from workload.registry import query
 
 ENDS = "ssvid trip_start:t trip_end:t trip_start_anchorage_id trip_end_anchorage_id"
@@ -199,6 +199,31 @@ def matched(q: Inputs):
     return voyages.match_ports(q.anchorages(), q.port_risk(), exclude_ports=classes.DUPLICATE_PORTS)
 
 
+_CONTESTED = f"""(WITH a AS MATERIALIZED (SELECT s2id || '-' || j AS s2id, label, iso3, lat + j * 0.003::DOUBLE AS lat, lon
+            FROM anchorages, (VALUES (0), (1)) AS v(j)),
+          p AS MATERIALIZED (SELECT port_id || '-' || i AS port_id, lat + d AS lat, lon
+            FROM port_risk, (VALUES (0, 0.010::DOUBLE), (1, 0.004::DOUBLE), (2, -0.013::DOUBLE)) AS v(i, d)),
+          near AS MATERIALIZED (SELECT s2id, label, iso3, port_id, {distance_m('a.lat', 'a.lon', 'p.lat', 'p.lon')} / 1000 AS distance_km
+            FROM a, p WHERE abs(a.lat - p.lat) < 1)
+        SELECT s2id, label, iso3, port_id, distance_km FROM (
+          SELECT *, row_number() OVER (PARTITION BY port_id ORDER BY distance_km, s2id) AS r FROM (
+            SELECT *, row_number() OVER (PARTITION BY s2id ORDER BY distance_km, port_id) AS q
+            FROM near WHERE distance_km <= 3) WHERE q = 1) WHERE r = 1)"""
+
+
+@query("k20_contested_port_match", "port_id s2id label iso3 distance_km:d", _CONTESTED, "anchorages", "port_risk")
+def contested(q: Inputs):
+    """Several ports in reach of an anchorage, and several anchorages nearest to one port."""
+    sites = q.anchorages().withColumn("j", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns(
+        {"s2id": F.concat_ws("-", "s2id", "j"), "lat": F.col("lat") + F.col("j") * F.lit(0.003)}
+    ).drop("j")
+    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate((0.010, 0.004, -0.013))])
+    around = q.port_risk().withColumn("s", F.explode(shifts)).withColumns(
+        {"port_id": F.concat_ws("-", "port_id", "s.i"), "lat": F.col("lat") + F.col("s.d")}
+    ).drop("s")
+    return voyages.match_ports(sites, around)
+
+
 @query(
     "k21_trip_ports", "trip_id from_port_id to_port_id",
     """(SELECT t.trip_id, f.port_id AS from_port_id, g.port_id AS to_port_id FROM final_trips t
