@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import whole_text, written
@@ -228,7 +228,7 @@ def write_archives(
     )
     manifest = (
         both.withColumn("shard", range_of(splitters, "high", "low", 1)["shard"])
-        .repartition(shards, "shard")
+        .repartitionById(shards, "shard")
         .sortWithinPartitions("shard", "high", "sha1", "is_page", "url")
         .select("shard", "id", "url", "payload", "sha1", "is_page", "first")
         .mapInArrow(write, MANIFEST)
@@ -302,4 +302,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield pa.record_batch(list(map(list, zip(*rows))), schema=schema)
 
-    return manifest.select("file").repartition(F.col("file")).mapInArrow(read, RECORDS)
+    # Names are tiny, so they are dealt by number: one file to a task.
+    numbered = manifest.select("file", (F.row_number().over(Window.orderBy("file")) - 1).alias("number"))
+    dealt = numbered.repartitionById(max(1, manifest.count()), "number")
+    return dealt.select("file").mapInArrow(read, RECORDS)
