@@ -27,11 +27,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.bpe import Known, Vocabulary, merge_all, vocabulary
 from tidemark.llm.common import whole_text
 
 LEAF = 1024
+# Texts worked on together in a batch.
+_ROWS = 512
 
 
 def merged(vocab: Vocabulary, symbols: list[int]) -> list[int]:
@@ -104,15 +107,17 @@ def _encode_short(rows: DataFrame, vocab_path: str, kind: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = stretch_ids(vocab_path)
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            yield pa.record_batch(
-                {
-                    "id": batch.column(0),
-                    "ids": pa.array(
-                        [b"".join(map(ids.__getitem__, t.split())) for t in texts], pa.binary()
-                    ),
-                }
-            )
+            for first in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(first, _ROWS)
+                texts = part.column(1).cast(pa.binary()).to_pylist()
+                yield pa.record_batch(
+                    {
+                        "id": part.column(0),
+                        "ids": pa.array(
+                            [b"".join(map(ids.__getitem__, t.split())) for t in texts], pa.binary()
+                        ),
+                    }
+                )
 
     return rows.mapInArrow(encode, f"id {kind}, ids binary")
 
@@ -215,12 +220,23 @@ def encode(
 
 
 def decode(encoded: DataFrame, vocab_path: str, out: str = "decoded") -> DataFrame:
-    """``encoded`` with the text of its ``ids``: the token texts, one space between them."""
+    """``encoded`` with the text of its ``ids``: the token texts, one space between them.
 
-    @F.pandas_udf("string")
-    def texts(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens = vocabulary(vocab_path).token_texts()
-        for batch in ids:
-            yield batch.map(lambda data: " ".join(map(tokens.__getitem__, to_ids(data))))
+    Encoding and decoding in one stage give each core two Python workers with a dictionary
+    each; store the encoding between them (:func:`tidemark.llm.common.written`) to have one.
+    """
+    schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())])
+    at = encoded.columns.index("ids")
 
-    return encoded.withColumn(out, texts("ids"))
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = vocabulary(vocab_path).token_texts()
+        for batch in batches:
+            for first in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(first, _ROWS)
+                found = [
+                    None if data is None else " ".join(map(tokens.__getitem__, to_ids(data)))
+                    for data in part.column(at).to_pylist()
+                ]
+                yield pa.record_batch([*part.columns, pa.array(found, pa.string())], names=schema.names)
+
+    return encoded.mapInArrow(texts, schema)

@@ -24,7 +24,7 @@ from tidemark.llm import (
     whitening,
 )
 from tidemark.llm.check_sql import EXACT_DEDUP, NEAR_DEDUP, QUALITY_RULES, WARC
-from tidemark.llm.common import table
+from tidemark.llm.common import table, written
 from tidemark.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -98,7 +98,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    encoded = bpe_codec.encode(table(spark, sf_dir, "documents"), path)
+    # Stored between the two, so that a core has one dictionary at a time.
+    encoded = written(bpe_codec.encode(table(spark, sf_dir, "documents"), path), "bpe-ids")
     return bpe_codec.decode(encoded, path).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
