@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import ship_package
+
 # More distinct combinations than this are no longer categories.
 MAX_CELLS = 1 << 21
 MAX_COLUMNS = 62
@@ -136,6 +138,7 @@ def bit_mask(flags: Sequence[Column]) -> Column:
 
 def fit(observed: DataFrame, flags: Sequence[Column], score: str, params: BoostParams) -> Forest:
     """The forest of the observed rows. Rows without score are left out."""
+    ship_package(observed.sparkSession)
     cells = (
         observed.select(bit_mask(flags).alias("mask"), F.col(score).cast("double").alias("y"))
         .where("y is not null").groupBy("mask").agg(F.count("y").alias("n"), F.avg("y").alias("mean"))

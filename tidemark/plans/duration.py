@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import classes
 from tidemark.plans import policy
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, ship_package
 
 # More levels than this are no longer categories.
 MAX_LEVELS = 5_000
@@ -278,6 +278,7 @@ def bootstrap_intervals(
     model, seen, stored = crossed_model(cells, fixed, random)
     fit = model.fit(seen.sums, seen.squares)
     spark, factors = stored.sparkSession, model.factors
+    ship_package(spark)
     rep = F.col("_replicate")
     # Residual of a cell's sum and its square over the size, in units of the residual deviation.
     names = [F.concat_ws("=", F.lit(f), F.col(f).cast("string")) for f in factors]
