@@ -143,27 +143,37 @@ def crossed_model(cells: DataFrame, fixed: str, random: Sequence[str]) -> tuple[
         cells.where("n > 0").na.drop(subset=factors).groupBy(*factors)
         .agg(*(F.sum(c).alias(c) for c in ("n", "sum_y", "sum_y2")))
     )
-    n_cells, squares = stored.agg(F.count(F.lit(1)), F.sum("sum_y2")).first()
+    n_cells, squares, *known = stored.agg(
+        F.count(F.lit(1)), F.sum("sum_y2"), *[F.count_distinct(f) for f in factors]
+    ).first()
     if not n_cells:
         raise ValueError("no stops to fit")
-    levels, sums, counts = [], [], []
-    for f in factors:
-        total = stored.groupBy(f).agg(F.sum("n").alias("n"), F.sum("sum_y").alias("s")).orderBy(f)
-        rows = total.limit(MAX_LEVELS + 1).collect()
-        if len(rows) > MAX_LEVELS:
+    for f, n in zip(factors, known):
+        if n > MAX_LEVELS:
             raise ValueError(f"{f} has more than {MAX_LEVELS} levels")
-        levels.append([r[f] for r in rows])
-        sums.append(np.array([r.s for r in rows]))
-        counts.append([np.diag(np.array([r.n for r in rows], float))])
+    k = len(factors)
+    sets = [(a,) for a in range(k)] + [(a, b) for a in range(k) for b in range(a + 1, k)]
+    totals = stored.groupingSets([[F.col(factors[a]) for a in s] for s in sets], *[F.col(f) for f in factors]).agg(
+        F.grouping_id().alias("_set"), F.sum("n").alias("_n"), F.sum("sum_y").alias("_s")
+    ).collect()
+    # The bits of grouping_id() name the columns that were summed over.
+    rows: dict[tuple, list] = {s: [] for s in sets}
+    number = {(1 << k) - 1 - sum(1 << (k - 1 - a) for a in s): s for s in sets}
+    for r in totals:
+        own = number[r._set]
+        rows[own].append(([r[factors[a]] for a in own], r._n, r._s))
+    levels = [sorted(key[0] for key, _, _ in rows[a,]) for a in range(k)]
     places = [{v: i for i, v in enumerate(names)} for names in levels]
-    for a, first in enumerate(factors):
-        for b in range(a + 1, len(factors)):
-            pair = np.zeros((len(levels[a]), len(levels[b])))
-            for r in stored.groupBy(first, factors[b]).agg(F.sum("n").alias("n")).collect():
-                pair[places[a][r[first]], places[b][r[factors[b]]]] = r.n
-            counts[a].append(pair)
-    # counts[a] starts at a; put it under its own number.
-    square = [[None] * a + row for a, row in enumerate(counts)]
+    sums = [np.zeros(len(names)) for names in levels]
+    square = [[None] * k for _ in range(k)]
+    for own in sets:
+        pair = np.zeros((len(levels[own[0]]), len(levels[own[-1]])))
+        for key, n, s in rows[own]:
+            at = [places[a][v] for a, v in zip(own, key)]
+            pair[at[0], at[-1]] = n
+            if len(own) == 1:
+                sums[own[0]][at[0]] = s
+        square[own[0]][own[-1]] = pair
     model = CrossedModel(factors, levels, square, n_cells)
     return model, Observed(sums, float(squares)), stored
 
