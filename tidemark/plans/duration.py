@@ -26,6 +26,8 @@ from tidemark.session import cut_lineage, ship_package
 
 # More levels than this are no longer categories.
 MAX_LEVELS = 5_000
+# Their sums are small, so tasks for the replicates' refits are not left to their size.
+_REFIT_TASKS = 64
 
 
 def log_hours(stops: DataFrame, min_minutes: int = 60) -> DataFrame:
@@ -328,7 +330,7 @@ def bootstrap_intervals(
 
     kind = stored.schema[fixed].dataType.simpleString()
     means = (
-        noise.repartition("_replicate").sortWithinPartitions("_replicate")
+        noise.repartition(min(replicates, _REFIT_TASKS), "_replicate").sortWithinPartitions("_replicate")
         .select("_replicate", "_set", *factors, "_noise", "_squares")
         .mapInArrow(refit, f"category {kind}, mean double")
     )
