@@ -14,6 +14,8 @@ from tidemark.session import cut_lineage
 MOST = 10_000
 # Points of the sketch an interval is narrowed by, and its accuracy.
 _GRID, _ACCURACY = 100, 2_000
+# Open ranks that every task may hold; the values then stay where they are.
+_HELD = 10_000
 
 
 def running_sums(df: DataFrame, key: str, value: Column, *, descending: bool = False) -> tuple[DataFrame, object]:
@@ -79,8 +81,8 @@ def exact_quantiles(
             F.col("n").alias("inside"), nothing.alias("answer"),
         )
     )
-    while ranks.where("answer is null").count():
-        ranks = cut_lineage(_narrowed(values, ranks, keys, most))
+    while left := ranks.where("answer is null").count():
+        ranks = cut_lineage(_narrowed(values, ranks, keys, most, left <= _HELD))
     found = ranks.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("k", "answer"))).alias("_at"))
     joined = counts.alias("c").join(found.alias("f"), _same("c", "f", keys))
     parts = []
@@ -99,13 +101,18 @@ def _same(a: str, b: str, columns: Sequence[str]) -> Column:
     return out
 
 
-def _narrowed(values: DataFrame, ranks: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """One round: ranks with an answer, or a smaller interval."""
+def _narrowed(values: DataFrame, ranks: DataFrame, keys: list[str], most: int, held: bool = False) -> DataFrame:
+    """One round: ranks with an answer, or a smaller interval.
+
+    With ``held`` the open ranks go to every task: a few groups would else be dealt to as
+    many tasks, each sorting all values of its group for the join.
+    """
+    given = F.broadcast if held else lambda df: df
     done, open_ = ranks.where("answer is not null"), ranks.where("answer is null")
     interval = [*keys, "lo", "hi"]
     within = (F.col("i.lo").isNull() | (F.col("_v") > F.col("i.lo"))) & (F.col("i.hi").isNull() | (F.col("_v") < F.col("i.hi")))
     intervals = open_.select(*interval, "inside").distinct()
-    rows = values.alias("v").join(intervals.alias("i"), _same("v", "i", keys) & within).select(
+    rows = values.alias("v").join(given(intervals).alias("i"), _same("v", "i", keys) & within).select(
         *[F.col(f"i.{c}") for c in interval], "inside", "_v"
     )
     few = F.col("inside") <= most
@@ -127,7 +134,7 @@ def _narrowed(values: DataFrame, ranks: DataFrame, keys: list[str], most: int) -
     sorted_ = told.where("answer is not null").select(*ranks.columns)
     big = cut_lineage(told.where("answer is null").drop("sorted", "points", "answer"))
     counted = (
-        values.alias("v").join(big.alias("i"), _same("v", "i", keys) & within)
+        values.alias("v").join(given(big).alias("i"), _same("v", "i", keys) & within)
         .groupBy(*[F.col(f"i.{c}") for c in big.columns])
         .agg(
             *(F.count(F.when(test, 1)).alias(name) for name, test in (
