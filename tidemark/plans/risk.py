@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import classes
 from tidemark.plans import boosting
+from tidemark.session import stored
 
 FACTORS = ("flag_group", "vessel_class", "time_at_sea")
 CATEGORIES: dict[str, Sequence[str]] = {
@@ -148,7 +149,9 @@ def carrier_scores(
     takes (rest, observed) and returns the rest with ``risk_score``; by default the
     mean of the observed trips most alike.
     """
-    trips = carrier_factors(carrier_design(encounters, loitering))
+    # Read by every level of the imputation and by both parts of the result. Columns of few
+    # values take little room by column.
+    trips = stored(carrier_factors(carrier_design(encounters, loitering)))
     voted = has_votes(risk, null_votes="propagate", carrier_style=True)
     observed = observed_trips(trips, risk, null_votes="propagate", carrier_style=True)
     if impute is None:
