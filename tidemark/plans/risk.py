@@ -151,7 +151,8 @@ def carrier_scores(
     """
     # Read by every level of the imputation and by both parts of the result. Columns of few
     # values take little room by column.
-    trips = stored(carrier_factors(carrier_design(encounters, loitering)))
+    other = vote_columns("la" if risk == "iuu" else "iuu", True)
+    trips = stored(carrier_factors(carrier_design(encounters, loitering)).drop(*other))
     voted = has_votes(risk, null_votes="propagate", carrier_style=True)
     observed = observed_trips(trips, risk, null_votes="propagate", carrier_style=True)
     if impute is None:
