@@ -11,7 +11,7 @@ from tidemark.operators import ranking
 from tidemark.operators.intervals import contained_in
 from tidemark.plans import encounters, risk, vessels
 from tidemark.session import configure, stored
-from workload.inputs import Inputs
+from workload.inputs import ENCOUNTERS, Inputs
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,6 +57,51 @@ def test_members_meet_spans_without_buckets(spark):
     assert got.count() == 4 and "_bucket" not in _optimized(got)
 
 
+def _loaded(q):
+    return (
+        encounters.load_encounters(q.encounters(), ENCOUNTERS), q.encounter_daily(),
+        encounters.curated_carriers(q.carriers(), ENCOUNTERS),
+    )
+
+
+def _rows(df, columns):
+    return sorted(map(str, df.select(*columns).collect()))
+
+
+def test_neighbours_are_read_without_their_columns(spark):
+    loaded, daily, carriers = _loaded(Inputs(spark, SF))
+    nameless = daily.limit(3).withColumn("ssvid", F.lit(None).cast("string"))
+    got = encounters.member_pairs(loaded, daily.unionByName(nameless).unionByName(daily), carriers)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "struct<event:string,ssvid:string>" in plan and "ExistingRDD" not in plan
+    members = vessels.resolve_identity(loaded, daily, "event_date")
+    want = encounters.pair_members(encounters.carrier_members(members, carriers), members)
+    assert _rows(got, want.columns) == _rows(want, want.columns) != []
+
+
+def test_only_listed_carriers_keep_their_columns(spark):
+    loaded, daily, carriers = _loaded(Inputs(spark, SF))
+    met = encounters.met_members(loaded, daily, carriers)
+    ids = {r[0] for r in carriers.select("carrier_ssvid").collect()}
+    rows = met.select("ssvid", F.col("own").isNotNull().alias("whole")).collect()
+    assert {r.ssvid in ids for r in rows if r.whole} == {True}
+    assert {r.ssvid in ids for r in rows if not r.whole} == {False}
+
+
+def test_carriers_get_attributes_before_they_meet(spark):
+    q = Inputs(spark, SF)
+    loaded, daily, carriers = _loaded(q)
+    info = q.vessel_info().unionByName(q.vessel_info().limit(20))
+    got = encounters.attributed_pairs(loaded, daily, carriers, info, ENCOUNTERS, q.anchorages())
+    pairs = encounters.encounters_away_from_port(
+        encounters.member_pairs(loaded, daily, carriers), q.anchorages(), ENCOUNTERS
+    )
+    for role in ("carrier", "neighbor"):
+        pairs = encounters.valid_attributes(encounters.with_attributes(pairs, info, role, ENCOUNTERS), role)
+    assert _rows(got, got.columns) == _rows(pairs.select(got.columns).distinct(), got.columns) != []
+    assert len(set(got.columns)) == len(got.columns) and not [c for c in got.columns if c.startswith("_")]
+
+
 def test_carrier_trips_are_worked_out_once(spark):
     q = Inputs(spark, SF)
     got = risk.carrier_scores(q.carrier_rows(), q.carrier_loitering())
