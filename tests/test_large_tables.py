@@ -11,6 +11,7 @@ from tidemark.operators import ranking
 from tidemark.operators.intervals import contained_in
 from tidemark.plans import encounters, risk, vessels
 from tidemark.session import configure, stored
+from workload import inputs
 from workload.inputs import ENCOUNTERS, Inputs
 
 SF = "/root/testdata/sf0.001"
@@ -130,3 +131,15 @@ def test_values_of_a_quantile_stay_where_they_are(spark, monkeypatch, held):
 def test_stored_keeps_rows_and_types(spark):
     rows = spark.sql("SELECT 'a' AS k, CAST(NULL AS INT) AS n, array(1, 2) AS l")
     assert stored(rows).collect() == rows.collect()
+
+
+def test_vessels_are_dealt_before_years_repeat_them(spark, monkeypatch):
+    q = Inputs(spark, SF)
+    want = q.by_year()
+    assert "Repartition" not in _optimized(want)
+    monkeypatch.setattr(inputs, "ROWS_PER_TASK", 40)
+    got = q.by_year()
+    plan = _optimized(got)
+    assert plan.index("Generate") < plan.index("RepartitionByExpression [c_custkey")
+    assert got.rdd.getNumPartitions() == q.table("customer").count() // 40 > 1
+    assert _rows(got, got.columns) == _rows(want, want.columns)
