@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -133,6 +134,29 @@ def test_packing(clashing_docs, library):
     check_packed(rows, [(r[0], r[1]) for r in edge_rows()], library, 128)
 
 
+def test_ids_of_distinct_words_equal_the_library(library, monkeypatch):
+    rng = random.Random(8)
+    letters = "aZ éß\n\t$_1'sıİſ日\u0301" + "".join(map(chr, range(33)))
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    special = next(iter(bpe.vocabulary(PATH).special))
+    texts += ["", " ", f"a{special}b {special.upper()} it's IT'S", "don't " * 300, "x" * 5000, texts[0]]
+    ids, until = packing.text_ids(pa.array(texts), PATH, packing.END_ID)
+    got = [part.tolist() for part in np.split(ids, until[:-1])]
+    assert got == [[*ids_of(library, t), packing.END_ID] for t in texts]
+    monkeypatch.setattr(packing, "_SLICE_BYTES", 100)
+    cut = list(packing.slices(pa.array(texts)))
+    assert len(cut) > 100 and [i for first, n in cut for i in range(first, first + n)] == list(range(len(texts)))
+    assert all(n == 1 or sum(len(t.encode()) for t in texts[first : first + n]) <= 100 for first, n in cut)
+
+
+def test_a_word_is_worked_out_once(monkeypatch):
+    seen = []
+    word_ids = packing.word_ids
+    monkeypatch.setattr(packing, "word_ids", lambda words, path: seen.append(words) or word_ids(words, path))
+    packing.text_ids(pa.array(["one two one", "two  one"]), PATH, packing.END_ID)
+    assert [sorted(words) for words in seen] == [[b"one", b"two"]]
+
+
 def test_no_documents(no_docs):
     assert token_counts.token_counts(no_docs, PATH).count() == 0
     assert bpe_codec.encode(no_docs, PATH).count() == 0

@@ -21,9 +21,11 @@ STORED = 400_000
 
 # Fixed value: the splitting pattern that has a plain form for Latin text.
 LATIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 # Printable ASCII and the Latin letters of one code point up to U+00FF.
 _LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+# The same in several lines.
+LATIN_TEXT = re.compile("[!-~À-ÖØ-öø-ÿ\\n]*")
 
 
 def byte_characters() -> list[str]:
@@ -91,7 +93,7 @@ class Vocabulary:
         if not text:
             return []
         if self.latin and _LATIN.fullmatch(text):
-            pieces = _LATIN_PIECES.findall(text.lower())
+            pieces = LATIN_PIECES.findall(text.lower())
             if text.isascii():
                 return pieces
             names = self.byte_names

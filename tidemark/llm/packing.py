@@ -23,6 +23,8 @@ ignored. Ids are little-endian unsigned 32-bit integers in one binary value.
 from __future__ import annotations
 
 import bisect
+import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,15 +32,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import Known, vocabulary
+from tidemark.llm.bpe import LATIN_PIECES, LATIN_TEXT, Known, vocabulary
 from tidemark.llm.common import whole_text, written
 
 CAPACITY = 2048
 END_ID = 1
+# Texts that are split together; their distinct words are worked out once.
+_SLICE_BYTES = 8 << 20
+# Stands for the line end among ids; no vocabulary has that many tokens.
+_LINE = (1 << 32) - 1
+LATIN_LINES = re.compile(LATIN_PIECES.pattern + "|\n")
 
 
 @dataclass(frozen=True)
@@ -142,20 +150,86 @@ def plan_windows(histogram: dict[int, int], capacity: int) -> Plan:
 
 
 @lru_cache(maxsize=2)
-def stretch_ids(vocab_path: str) -> Known:
-    """Ids of blank-free stretches; the merges are the library's."""
-    vocab = vocabulary(vocab_path)
+def piece_ids(vocab_path: str) -> Known:
+    """Ids of pre-tokens in byte characters; the merges are the library's."""
+    tokenize = vocabulary(vocab_path).library.model.tokenize
+    return Known(lambda piece: array("I", [t.id for t in tokenize(piece)]).tobytes())
 
-    def merge(piece: str) -> bytes:
-        return np.asarray([t.id for t in vocab.library.model.tokenize(piece)], "<u4").tobytes()
 
-    pieces = Known(merge)
+@lru_cache(maxsize=2)
+def latin_ids(vocab_path: str) -> Known:
+    """Ids of lower-case Latin pre-tokens and of the line end, which is ``_LINE``."""
+    names, tokenize = vocabulary(vocab_path).byte_names, vocabulary(vocab_path).library.model.tokenize
+
+    def work(piece: str) -> bytes:
+        if piece == "\n":
+            return _LINE.to_bytes(4, "little")
+        name = piece if piece.isascii() else "".join([names[b] for b in piece.encode()])
+        return array("I", [t.id for t in tokenize(name)]).tobytes()
+
+    return Known(work)
+
 
-    def encode(stretch: str) -> bytes:
-        found = vocab.pre_tokens(stretch)
-        return b"".join([p.to_bytes(4, "little") if isinstance(p, int) else pieces[p] for p in found])
+def word_ids(words: list[bytes], vocab_path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of blank-free words: all of them in a row, and each word's start and count there.
 
-    return Known(encode)
+    Latin words are split together, as the lines of one text; the others, and those with a
+    special string, go one by one.
+    """
+    vocab, pieces = vocabulary(vocab_path), piece_ids(vocab_path)
+    lines = b"\n".join(words).decode("utf-8", "replace")
+    rest = []
+    if not (vocab.latin and LATIN_TEXT.fullmatch(lines)) or vocab.special_pattern.search(lines):
+        texts = lines.split("\n")
+        for i, text in enumerate(texts):
+            if not (vocab.latin and LATIN_TEXT.fullmatch(text)) or vocab.special_pattern.search(text):
+                rest.append((i, text))
+                texts[i] = ""
+        lines = "\n".join(texts)
+    found = LATIN_LINES.findall(f"{lines}\n".lower())
+    flat = np.frombuffer(b"".join(map(latin_ids(vocab_path).__getitem__, found)), "<u4")
+    ends = np.flatnonzero(flat == _LINE)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    counts = ends - starts
+    more = []
+    for i, text in rest:
+        ids = [p.to_bytes(4, "little") if isinstance(p, int) else pieces[p] for p in vocab.pre_tokens(text)]
+        more.append(b"".join(ids))
+        counts[i] = len(more[-1]) // 4
+    if rest:
+        at = [i for i, _ in rest]
+        starts[at] = len(flat) + np.cumsum(counts[at]) - counts[at]
+        flat = np.concatenate([flat, np.frombuffer(b"".join(more), "<u4")])
+    return flat, starts, counts
+
+
+def text_ids(texts: pa.Array, vocab_path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of whole texts, each with the end, in a row; and where each text ends there."""
+    split = pc.ascii_split_whitespace(texts)
+    words = split.flatten().dictionary_encode()
+    flat, starts, counts = word_ids(words.dictionary.cast(pa.binary()).to_pylist(), vocab_path)
+    # The end is one more word, after the last of each text.
+    starts, counts = np.append(starts, len(flat)), np.append(counts, 1)
+    flat = np.append(flat, np.uint32(end_id))
+    last = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    order = np.insert(words.indices.to_numpy(zero_copy_only=False), last, len(counts) - 1)
+    sizes = counts[order]
+    until = np.cumsum(sizes)
+    # A slice has fewer than 2^31 tokens, as Arrow's strings have fewer bytes.
+    shift = (starts[order] - until + sizes).astype("int32")
+    ids = flat[np.repeat(shift, sizes) + np.arange(until[-1], dtype="int32")]
+    return ids, until[last + np.arange(len(texts))]
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of texts of about ``_SLICE_BYTES`` together."""
+    until = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("int64"))
+    first = 0
+    while first < len(texts):
+        before = until[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(until, before + _SLICE_BYTES, "right")))
+        yield first, stop - first
+        first = stop
 
 
 def tokenised(
@@ -170,32 +244,34 @@ def tokenised(
     kind = rows.schema["id"].dataType.simpleString()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = stretch_ids(vocab_path)
-        end = np.asarray([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         seen: Counter[int] = Counter()
         full = 0
-        for batch in batches:
-            ids, n, nth, nth_full = [], [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                data = b"".join(map(ids_of.__getitem__, text.split())) + end
-                tokens = len(data) // 4
-                ids.append(data)
-                n.append(tokens)
-                nth.append(seen[tokens % capacity])
-                nth_full.append(full)
-                seen[tokens % capacity] += 1
-                full += tokens // capacity
-            yield pa.record_batch(
-                {
-                    "id": batch.column(0),
-                    "ids": pa.array(ids, pa.binary()),
-                    "n": pa.array(n, pa.int64()),
-                    "part": pa.array([part] * len(n), pa.int32()),
-                    "nth": pa.array(nth, pa.int64()),
-                    "nth_full": pa.array(nth_full, pa.int64()),
-                }
-            )
+        for whole in batches:
+            for first, rows_in in slices(whole.column(1)):
+                batch = whole.slice(first, rows_in)
+                ids, until = text_ids(batch.column(1), vocab_path, end_id)
+                n = np.diff(until, prepend=0)
+                nth, nth_full = [], []
+                for tokens in n.tolist():
+                    nth.append(seen[tokens % capacity])
+                    nth_full.append(full)
+                    seen[tokens % capacity] += 1
+                    full += tokens // capacity
+                bounds = np.concatenate([[0], 4 * until]).astype("int64")
+                data = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), len(n), [None, pa.py_buffer(bounds), pa.py_buffer(ids.astype("<u4"))]
+                )
+                yield pa.record_batch(
+                    {
+                        "id": batch.column(0),
+                        "ids": data.cast(pa.binary()),
+                        "n": pa.array(n, pa.int64()),
+                        "part": pa.array([part] * len(n), pa.int32()),
+                        "nth": pa.array(nth, pa.int64()),
+                        "nth_full": pa.array(nth_full, pa.int64()),
+                    }
+                )
 
     return rows.mapInArrow(
         tokenise, f"id {kind}, ids binary, n long, part int, nth long, nth_full long"
