@@ -108,9 +108,10 @@ def read_sharded(
     or read. A missing bound leaves that side open.
     """
     reader = spark.read if schema is None else spark.read.schema(schema)
-    # Shard names stay strings, as they compare.
-    df = reader.parquet(path).withColumn(SHARD, F.col(SHARD).cast("string"))
-    return in_shards(df, first, last)
+    df = reader.parquet(path)
+    # Shard names are strings, as they compare; read as numbers, each test of one would be a cast.
+    named = [T.StructField(f.name, T.StringType()) if f.name == SHARD else f for f in df.schema]
+    return in_shards(spark.read.schema(T.StructType(named)).parquet(path), first, last)
 
 
 def read_csv(
