@@ -178,7 +178,11 @@ def _open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _frequencies(texts: DataFrame, slots: int) -> np.ndarray:
-    """How often shingles fall into each of ``slots`` counters, one per text and shingle."""
+    """How often shingles fall into each of ``slots`` counters, in eighths of a doubling.
+
+    One byte a counter: that is all the driver gets and sends to the tasks. Counts that
+    share a level are in the order of the shingles.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
@@ -193,10 +197,11 @@ def _frequencies(texts: DataFrame, slots: int) -> np.ndarray:
         .mapInArrow(count, "slot int, n long")
         .groupBy("slot")
         .agg(F.sum("n").alias("n"))
+        .select("slot", F.least(F.floor(8 * F.log2("n")) + 1, F.lit(255)).cast("short").alias("level"))
         .toArrow()
     )
-    out = np.zeros(slots, np.int64)
-    out[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    out = np.zeros(slots, np.uint8)
+    out[counted["slot"].to_numpy()] = counted["level"].to_numpy()
     return out
 
 
